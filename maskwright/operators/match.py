@@ -383,19 +383,63 @@ def _assign(weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _assign_component(pdf: pd.DataFrame) -> pd.DataFrame:
-    gts, gi = np.unique(pdf["gt_id"].to_numpy(), return_inverse=True)
-    preds, pi = np.unique(pdf["pred_id"].to_numpy(), return_inverse=True)
-    w = np.zeros((len(gts), len(preds)))
-    w[gi, pi] = pdf["iou"].to_numpy()
-    flip = len(gts) > len(preds)
-    cols = _assign(w.T if flip else w)
-    rows = np.arange(len(cols))
-    g, p = (cols, rows) if flip else (rows, cols)
-    keep = w[g, p] > 0
-    return pd.DataFrame({
-        "image_id": pdf["image_id"].iloc[0], "gt_id": gts[g[keep]], "pred_id": preds[p[keep]], "iou": w[g, p][keep],
-    })
+def _components_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Component label of each edge of a small bipartite graph (min-label rounds)."""
+    _, ui = np.unique(u, return_inverse=True)
+    _, vi = np.unique(v, return_inverse=True)
+    lab_u, lab_v = np.arange(ui.max() + 1), np.full(vi.max() + 1, len(u))
+    while True:
+        np.minimum.at(lab_v, vi, lab_u[ui])
+        before = lab_u.copy()
+        np.minimum.at(lab_u, ui, lab_v[vi])
+        if (before == lab_u).all():
+            return lab_u[ui]
+
+
+def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Optimal pairs of the edges of one group, component by component."""
+    gt, pred, iou = (pdf[c].to_numpy() for c in ("gt_id", "pred_id", "iou"))
+    labels = _components_of(gt, pred)
+    out_g, out_p, out_w = [], [], []
+    for lab in np.unique(labels):
+        part = labels == lab
+        gts, gi = np.unique(gt[part], return_inverse=True)
+        preds, pi = np.unique(pred[part], return_inverse=True)
+        w = np.zeros((len(gts), len(preds)))
+        w[gi, pi] = iou[part]
+        if min(w.shape) == 1:
+            best = np.unravel_index(np.argmax(w), w.shape)
+            g, p = np.array([best[0]]), np.array([best[1]])
+        else:
+            flip = len(gts) > len(preds)
+            cols = _assign(w.T if flip else w)
+            rows = np.arange(len(cols))
+            g, p = (cols, rows) if flip else (rows, cols)
+        keep = w[g, p] > 0
+        out_g.append(gts[g[keep]])
+        out_p.append(preds[p[keep]])
+        out_w.append(w[g, p][keep])
+    ids = np.concatenate(out_g)
+    return pd.DataFrame({"image_id": np.full(len(ids), pdf["image_id"].iloc[0]), "gt_id": ids,
+                         "pred_id": np.concatenate(out_p), "iou": np.concatenate(out_w)})
+
+
+SMALL_IMAGE = 20_000
+
+
+def solve_groups(edges: DataFrame, left: str, right: str, limit: int = SMALL_IMAGE) -> DataFrame:
+    """Add ``solve_key`` to overlap edges: one key per image up to ``limit`` edges, else one per
+    connected component, so that a crowded image is spread over many tasks."""
+    sizes = edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = cut(edges.join(sizes, "image_id"))
+    small = sized.where(F.col("_n") <= limit).drop("_n").withColumn("solve_key", F.xxhash64("image_id"))
+    big = sized.where(F.col("_n") > limit).drop("_n")
+    if big.isEmpty():
+        return small
+    keyed = big.withColumn("_u", F.xxhash64(F.lit("l"), "image_id", left)).withColumn("_v", F.xxhash64(F.lit("r"), "image_id", right))
+    comp = connected_components(keyed.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    split = keyed.join(comp.withColumnsRenamed({"node": "_u", "component": "solve_key"}), "_u").drop("_u", "_v")
+    return small.unionByName(split)
 
 
 def _settled(edges: DataFrame) -> DataFrame:
@@ -415,11 +459,11 @@ def _settled(edges: DataFrame) -> DataFrame:
         "image_id", "gt_id", "pred_id", "iou")
 
 
-def optimal_pairs(pairs: DataFrame, rounds: int = 2) -> DataFrame:
+def optimal_pairs(pairs: DataFrame, rounds: int = 1) -> DataFrame:
     """One-to-one pairs of largest total IoU per image (overlapping pairs only).
 
-    Certain pairs are settled by joins first; what remains is split into connected
-    components, each solved exactly.
+    Certain pairs are settled by joins first; what remains is solved exactly per connected
+    component (see ``solve_groups``).
     """
     edges = cut(pairs.select("image_id", "gt_id", "pred_id", "iou"))
     fixed: DataFrame | None = None
@@ -430,13 +474,8 @@ def optimal_pairs(pairs: DataFrame, rounds: int = 2) -> DataFrame:
             sure.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti"
         )
         edges = cut(edges)
-    keyed = edges.withColumn("_u", F.xxhash64(F.lit("g"), "image_id", "gt_id")).withColumn(
-        "_v", F.xxhash64(F.lit("p"), "image_id", "pred_id")
-    )
-    comp = connected_components(keyed.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
-    rest = keyed.join(comp.withColumnRenamed("node", "_u"), "_u")
-    solved = rest.select("component", "image_id", "gt_id", "pred_id", "iou").groupBy("component").applyInPandas(
-        _assign_component, "image_id long, gt_id long, pred_id long, iou double"
+    solved = solve_groups(edges, "gt_id", "pred_id").groupBy("solve_key").applyInPandas(
+        _assign_group, "image_id long, gt_id long, pred_id long, iou double"
     )
     return fixed.select("image_id", "gt_id", "pred_id", "iou").union(solved)
 

@@ -182,9 +182,12 @@ def _fold(limits: dict[str, float]):
     def job(pdf: pd.DataFrame) -> pd.DataFrame:
         width = int(pdf["x1"].max()) + 1
         px, meta = {}, {}
-        for (kind, idx), g in pdf.groupby(["kind", "idx"], sort=True):
-            px[kind, idx] = np.concatenate([y * width + np.arange(a, b) for y, a, b in zip(g["y"], g["x0"], g["x1"])])
-            meta[kind, idx] = g.iloc[0]
+        row = {c: pdf[c].to_numpy() for c in ("kind", "idx", "y", "x0", "x1", "area", "solidity", "aspect_sym_moment", "curvature_ratio")}
+        for i in range(len(pdf)):
+            key = row["kind"][i], row["idx"][i]
+            px.setdefault(key, []).append(row["y"][i] * width + np.arange(row["x0"][i], row["x1"][i]))
+            meta.setdefault(key, {c: row[c][i] for c in ("area", "solidity", "aspect_sym_moment", "curvature_ratio")})
+        px = {k: np.concatenate(v) for k, v in px.items()}
         image, log, changed = pdf["image_id"].iloc[0], [], set()
         streams = sorted(i for k, i in px if k == "stream")
         sats = sorted(i for k, i in px if k == "sat")
@@ -237,19 +240,15 @@ def cross_type_conflict(
 
     ``streams`` and ``sats`` are run rows that carry area, solidity, aspect_sym_moment and
     curvature_ratio of their mask. Only masks that overlap another type take part; they are
-    folded one overlap component at a time, since later steps see trimmed masks. Returns stream
+    folded one image (or overlap component, if it is crowded) at a time, since later steps see trimmed masks. Returns stream
     runs, satellite runs and the action log.
     """
     pairs = match.pair_intersections(streams, sats, "stream_idx", "sat_idx")
-    keyed = pairs.select("image_id", "stream_idx", "sat_idx",
-                         F.xxhash64(F.lit("s"), "image_id", "stream_idx").alias("u"),
-                         F.xxhash64(F.lit("t"), "image_id", "sat_idx").alias("v"))
-    comp = match.connected_components(keyed.select("u", "v"))
-    nodes = keyed.join(comp.withColumnRenamed("node", "u"), "u")
+    nodes = match.solve_groups(pairs.select("image_id", "stream_idx", "sat_idx"), "stream_idx", "sat_idx")
     cols = ["y", "x0", "x1", "area", "solidity", "aspect_sym_moment", "curvature_ratio"]
 
     def side(runs: DataFrame, kind: str, idx: str) -> DataFrame:
-        member = nodes.select("image_id", F.col(idx).alias("idx"), "component").distinct()
+        member = nodes.select("image_id", F.col(idx).alias("idx"), "solve_key").distinct()
         ready = runs.select("image_id", F.col("inst_id").alias("idx"), *cols)
         for c, d in (("solidity", 1.0), ("aspect_sym_moment", 1.0), ("curvature_ratio", 1.0)):
             ready = ready.withColumn(c, F.when(F.coalesce(F.col(c), F.lit(0.0)) == 0, d).otherwise(F.col(c)))
@@ -261,7 +260,7 @@ def cross_type_conflict(
     work = side(streams, "stream", "stream_idx").unionByName(side(sats, "sat", "sat_idx"))
     from maskwright.session import cut
 
-    log = cut(work.groupBy("component").applyInPandas(_fold(limits), _FOLD_SCHEMA))
+    log = cut(work.groupBy("solve_key").applyInPandas(_fold(limits), _FOLD_SCHEMA))
     actions = log.where("kind = 'action'").drop("kind", "y", "x0", "x1")
     gone = actions.where("action = 'drop_stream'").select("image_id", F.col("stream_idx").alias("inst_id")).distinct()
     touched = actions.where("action <> 'drop_stream'").select("image_id", F.col("sat_idx").alias("inst_id")).distinct()
