@@ -32,11 +32,17 @@ class Tables:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        """One row per (part, order, line); equal keys keep the smallest row."""
-        first = self.lineitem.groupBy(
-            F.col("l_partkey").cast("long").alias("image_id"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("inst_id"),
-        ).agg(F.min(F.struct(
+        """One row per (part, order, line); equal keys keep the smallest row.
+
+        Each box later becomes a dozen run rows, so the number of tasks is set here for the
+        exploded data; adaptive coalescing would size it for the small boxes. The aggregation
+        reuses this partitioning.
+        """
+        conf = self.spark.conf.get("spark.sql.shuffle.partitions")
+        tasks = max(int(conf), self.spark.sparkContext.defaultParallelism)
+        keyed = self.lineitem.withColumn("image_id", F.col("l_partkey").cast("long")).withColumn(
+            "inst_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long"))
+        first = keyed.repartition(tasks, "image_id", "inst_id").groupBy("image_id", "inst_id").agg(F.min(F.struct(
             "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
             "l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey",
         )).alias("r"))
