@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 TILE = 64
 IMAGE = ["image_id"]
@@ -199,56 +202,74 @@ def column_runs(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:
     ).drop("_i")
 
 
-def shifted_cover(runs: DataFrame, distance: int, height: int, width: int,
-                  keys: Sequence[str] = MASK) -> DataFrame:
-    """Erosion by a (2d+1) square; pixels outside the frame count as set."""
-    need = 2 * distance + 1
-    moved = runs.select(
-        *keys,
-        F.explode(F.expr(f"sequence(y - {distance}, y + {distance})")).alias("y"),
-        F.expr(f"case when x0 = 0 then 0 else x0 + {distance} end").cast("int").alias("x0"),
-        F.expr(f"case when x1 = {width} then {width} else x1 - {distance} end").cast("int").alias("x1"),
-        F.col("y").alias("_src"),
-    ).where(f"x0 < x1 AND y BETWEEN 0 AND {height - 1}")
-    at = [*keys, "y"]
-    # Elementary intervals of one mask row: the runs of 2d+1 rows of a single mask.
-    cell = moved.groupBy(*at).agg(F.collect_list(F.struct("x0", "x1")).alias("_r"))
-    cell = cell.withColumn(
-        "_e", F.expr("array_sort(array_distinct(concat(transform(_r, r -> r.x0), transform(_r, r -> r.x1))))")
-    ).withColumn(
-        "_need",
-        F.expr(f"{need} - greatest(0, {distance} - y) - greatest(0, y + {distance} - {height - 1})"),
-    )
-    parts = cell.select(*at, "_r", "_e", "_need", F.explode(F.expr("sequence(1, size(_e) - 1)")).alias("_i"))
-    out = parts.select(
-        *at,
-        F.expr("element_at(_e, _i)").alias("x0"),
-        F.expr("element_at(_e, _i + 1)").alias("x1"),
-        F.expr("size(filter(_r, r -> r.x0 <= element_at(_e, _i) AND r.x1 >= element_at(_e, _i + 1)))").alias("_n"),
-        "_need",
-    ).where("_n >= _need")
-    return merge_tiles(out.select(*at, "x0", "x1"), keys)
+CANVAS = 4_000_000
+_RUNS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("y", "x0", "x1")]))
 
 
-def dilate_runs(runs: DataFrame, distance: int, height: int, width: int,
-                keys: Sequence[str] = MASK) -> DataFrame:
-    """Dilation by a (2d+1) square, clipped to the frame; tiled disjoint runs."""
-    grown = runs.select(
-        *keys,
-        F.explode(F.expr(f"sequence(y - {distance}, y + {distance})")).alias("y"),
-        F.expr(f"cast(greatest(0, x0 - {distance}) as int)").alias("x0"),
-        F.expr(f"cast(least({width}, x1 + {distance}) as int)").alias("x1"),
-    ).where(f"y BETWEEN 0 AND {height - 1}")
-    return union_runs(grown, keys)
+def mask_canvases(y: pd.Series, x0: pd.Series, x1: pd.Series, pad: int):
+    """Masks of an Arrow batch drawn one below the other with ``pad`` empty pixels around each.
+
+    Yields (first, last, image, top rows, frame y of each row, frame x of column 0 of each row).
+    """
+    low = np.array([v.min() for v in y])
+    tall = np.array([v.max() for v in y]) - low + 1 + 2 * pad
+    left = np.array([v.min() for v in x0])
+    wide = np.array([v.max() for v in x1]) - left + 2 * pad
+    first = 0
+    while first < len(y):
+        last, width, height = first, 0, 0
+        while last < len(y) and (last == first or (height + tall[last]) * max(width, wide[last]) <= CANVAS):
+            height, width = height + tall[last], max(width, wide[last])
+            last += 1
+        top = np.concatenate([[0], np.cumsum(tall[first:last])])
+        part = range(first, last)
+        row = np.concatenate([y.iloc[i] - low[i] + pad + top[i - first] for i in part])
+        a = np.concatenate([x0.iloc[i] - left[i] + pad for i in part])
+        b = np.concatenate([x1.iloc[i] - left[i] + pad for i in part])
+        marks = np.zeros((height, width + 1), dtype=np.int16)
+        np.add.at(marks, (row, a), 1)
+        np.add.at(marks, (row, b), -1)
+        owner = np.repeat(np.arange(first, last), tall[first:last])
+        frame_y = np.arange(height) - top[owner - first] + low[owner] - pad
+        yield first, last, marks.cumsum(axis=1)[:, :-1] > 0, top, frame_y, left[owner] - pad
+        first = last
 
 
 def boundary_band(runs: DataFrame, height: int, width: int, distance: int = 2,
                   keys: Sequence[str] = MASK) -> DataFrame:
-    """Dilation minus erosion."""
-    eroded = tile_runs(shifted_cover(runs, distance, height, width, keys))
-    return difference_runs(
-        dilate_runs(runs, distance, height, width, keys).drop("tile"), eroded, keys, on=keys
-    )
+    """Dilation minus erosion with a (2d+1) square; outside the frame counts as set for the erosion.
+
+    Needs the neighbourhood of one mask only: its runs travel as arrays, whole batches of masks
+    are handled by array shifts.
+    """
+    pad = 2 * distance
+
+    @F.pandas_udf(_RUNS)
+    def band(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
+        out: list = [None] * len(y)
+        for first, last, img, top, fy, fx in mask_canvases(y, x0, x1, pad):
+            cols = fx[:, None] + np.arange(img.shape[1])
+            inside = (cols >= 0) & (cols < width) & (fy >= 0)[:, None] & (fy < height)[:, None]
+            grown, kept = img.copy(), img | ~inside
+            for axis in (0, 1):
+                g, k = grown.copy(), kept.copy()
+                for d in range(1, distance + 1):
+                    for s in (-d, d):
+                        g |= np.roll(grown, s, axis)
+                        k &= np.roll(kept, s, axis)
+                grown, kept = g, k
+            edge = np.diff(np.pad((grown & ~kept & inside).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+            ry, ra = np.nonzero(edge == 1)
+            rb = np.nonzero(edge == -1)[1]
+            rows = list(zip(fy[ry].tolist(), (ra + fx[ry]).tolist(), (rb + fx[ry]).tolist()))
+            cut_ = np.searchsorted(ry, top)
+            for i in range(first, last):
+                out[i] = rows[cut_[i - first]:cut_[i - first + 1]]
+        return pd.Series(out)
+
+    lists = runs.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r"))
+    drawn = lists.select(*keys, F.explode(band("r.y", "r.x0", "r.x1")).alias("b"))
+    return tile_runs(drawn.select(*keys, "b.y", "b.x0", "b.x1"))
 
 
 def boundary_inner(runs: DataFrame, keys: Sequence[str] = MASK) -> DataFrame:

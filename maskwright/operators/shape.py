@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import LongType
 
-from maskwright.operators.runs import MASK, boundary_inner
+from maskwright.operators.runs import MASK, boundary_inner, mask_canvases
 
 HULL_MIN_AREA = 10
 ELLIPSE_MIN_AREA = 5
@@ -303,34 +303,12 @@ def _thin(img: np.ndarray) -> np.ndarray:
             return work.astype(bool)
 
 
-CANVAS = 4_000_000
-
-
 @F.pandas_udf(LongType())
 def _skeleton_px(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
-    """Skeleton pixels of each mask; a batch is thinned on one canvas, masks one below the other."""
-    low = np.array([v.min() for v in y])
-    tall = np.array([v.max() for v in y]) - low + 3
-    left = np.array([v.min() for v in x0])
-    wide = np.array([v.max() for v in x1]) - left + 2
+    """Skeleton pixels of each mask; the masks of a batch are thinned together."""
     out = np.zeros(len(y), dtype=np.int64)
-    first = 0
-    while first < len(y):
-        last, width, height = first, 0, 0
-        while last < len(y) and (last == first or (height + tall[last]) * max(width, wide[last]) <= CANVAS):
-            height, width = height + tall[last], max(width, wide[last])
-            last += 1
-        top = np.concatenate([[0], np.cumsum(tall[first:last])])
-        part = range(first, last)
-        row = np.concatenate([y.iloc[i] - low[i] + 1 + top[i - first] for i in part])
-        a = np.concatenate([x0.iloc[i] - left[i] + 1 for i in part])
-        b = np.concatenate([x1.iloc[i] - left[i] + 1 for i in part])
-        marks = np.zeros((height, width + 1), dtype=np.int16)
-        np.add.at(marks, (row, a), 1)
-        np.add.at(marks, (row, b), -1)
-        thin = _thin(marks.cumsum(axis=1) > 0)
-        out[first:last] = np.add.reduceat(thin.sum(axis=1), top[:-1])
-        first = last
+    for first, last, img, top, _, _ in mask_canvases(y, x0, x1, 1):
+        out[first:last] = np.add.reduceat(_thin(img).sum(axis=1), top[:-1])
     return pd.Series(out)
 
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 PREDICTION = T.StructType([
     T.StructField("type_label", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("area", T.LongType()),
@@ -75,29 +75,29 @@ def flatten_catalogue(nested: DataFrame) -> DataFrame:
         F.regexp_extract("limit_name", r"([\d.]+)", 1).cast("double").alias("sb_limit"), F.col("sat_id").cast("int").alias("sat_id"), "o.*")
 
 
-# Region classes that are read.
-REGION_TYPES = ("streams", "tails", "shells", "plumes", "companion", "satellite", "halo", "cirrus", "main galaxy")
+# Region class names as written and as used.
+REGION_TYPES = {"Inner Galaxy": "Inner", "Inner": "Inner", "Halo": "Halo", "Shells": "Shells", "Stream": "Stream", "Tail": "Tail"}
 
 
-def parse_regions(lines: DataFrame, types: Sequence[str] = REGION_TYPES) -> DataFrame:
+def parse_regions(lines: DataFrame) -> DataFrame:
     """Shapes of region files. ``lines``: file, line_no, value.
 
-    A comment ``# Feature<id> <galaxy> <type>`` names the next ``polygon(...)`` or ``line(...)``.
-    Unknown types and shapes with bad, fewer than four, or an odd number of coordinates are dropped.
+    A comment ``# Feature<id> <galaxy> <type>`` names the next ``polygon(...)`` or ``line(...)``;
+    other lines in between do not matter. Unknown types and shapes with bad, fewer than four, or
+    an odd number of coordinates are dropped. Order only matters inside one (small) file.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("file").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
-    head = F.when(F.col("value").rlike(r"^\s*#\s*Feature"), F.col("value"))
-    rows = lines.withColumn("_h", F.last(head, ignorenulls=True).over(w)).withColumn("_last", F.lag(head.isNotNull()).over(W.partitionBy("file").orderBy("line_no")))
-    pat = r"^\s*#\s*Feature(\S+)\s+(\S+)\s+(.+?)\s*$"
-    shape = r"^\s*(polygon|line)\(([^)]*)\)"
-    rows = rows.where(F.col("value").rlike(shape) & F.col("_h").isNotNull())
-    nums = F.transform(F.split(F.regexp_extract("value", shape, 2), ","), lambda s: F.trim(s).try_cast("double"))
-    kind = F.lower(F.trim(F.regexp_extract("_h", pat, 3)))
-    out = rows.select("file", "line_no", F.regexp_extract("_h", pat, 1).alias("feature_id"), F.regexp_extract("_h", pat, 2).alias("galaxy"),
-                      kind.alias("type"), F.regexp_extract("value", shape, 1).alias("kind"), nums.alias("n"))
-    good = out.where(F.col("type").isin(*types) & (F.size("n") >= 4) & (F.size("n") % 2 == 0) & ~F.exists("n", lambda x: x.isNull()))
+    from maskwright.functions.policies import literal_map
+
+    head, shape = r"^#\s*Feature(\d+)\s+(\S+)\s+(.+?)\s*$", r"^(polygon|line)\(([^)]+)\)"
+    text = F.trim("value")
+    events = lines.select("file", "line_no", text.alias("v")).where(F.col("v").rlike(head) | F.col("v").rlike(shape))
+    rows = events.withColumn("_h", F.lag("v").over(W.partitionBy("file").orderBy("line_no")))
+    rows = rows.where(F.col("v").rlike(shape) & F.coalesce(F.col("_h").rlike(head), F.lit(False)))
+    kind = literal_map(REGION_TYPES)[F.regexp_extract("_h", head, 3)]
+    nums = F.transform(F.split(F.regexp_extract("v", shape, 2), ","), lambda x: F.trim(x).try_cast("double"))
+    out = rows.select("file", "line_no", F.regexp_extract("_h", head, 1).cast("long").alias("feature_id"), F.regexp_extract("_h", head, 2).alias("galaxy"),
+                      kind.alias("type"), F.regexp_extract("v", shape, 1).alias("kind"), nums.alias("n"))
+    good = out.where(F.col("type").isNotNull() & (F.size("n") >= 4) & (F.size("n") % 2 == 0) & ~F.exists("n", lambda x: x.isNull()))
     verts = F.expr("transform(sequence(0, size(n) div 2 - 1), i -> struct(n[2 * i] as ra, n[2 * i + 1] as dec))")
     return good.select("file", "line_no", "feature_id", "galaxy", "type", "kind", verts.alias("verts"))
 
