@@ -192,11 +192,13 @@ def classify_candidates(
 
 def boundary_f1(pairs: DataFrame, pred: DataFrame, gt: DataFrame, height: int, width: int,
                 distance: int = 2) -> DataFrame:
-    """F1 of the boundary bands of each given pair."""
-    pb = boundary_band(pred.join(pairs.selectExpr("image_id", "pred_id as inst_id").distinct(),
-                                 ["image_id", "inst_id"], "left_semi"), height, width, distance)
-    gb = boundary_band(gt.join(pairs.selectExpr("image_id", "gt_id as inst_id").distinct(),
-                               ["image_id", "inst_id"], "left_semi"), height, width, distance)
+    """F1 of the boundary bands of each given pair. Pairs and bands are used several times, so
+    they are written once."""
+    pairs = cut(pairs)
+    pb = cut(boundary_band(pred.join(pairs.selectExpr("image_id", "pred_id as inst_id").distinct(),
+                                 ["image_id", "inst_id"], "left_semi"), height, width, distance))
+    gb = cut(boundary_band(gt.join(pairs.selectExpr("image_id", "gt_id as inst_id").distinct(),
+                               ["image_id", "inst_id"], "left_semi"), height, width, distance))
     pa = areas(pb).withColumnsRenamed({"inst_id": "pred_id", "area": "_pa"})
     ga = areas(gb).withColumnsRenamed({"inst_id": "gt_id", "area": "_ga"})
     # Join along the wanted pairs: (pair, y, tile) keeps the work to their own rows.
@@ -430,8 +432,8 @@ SMALL_IMAGE = 20_000
 def solve_groups(edges: DataFrame, left: str, right: str, limit: int = SMALL_IMAGE) -> DataFrame:
     """Add ``solve_key`` to overlap edges: one key per image up to ``limit`` edges, else one per
     connected component, so that a crowded image is spread over many tasks."""
-    sizes = edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    sized = cut(edges.join(sizes, "image_id"))
+    edges = cut(edges)
+    sized = edges.join(edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")), "image_id")
     small = sized.where(F.col("_n") <= limit).drop("_n").withColumn("solve_key", F.xxhash64("image_id"))
     big = sized.where(F.col("_n") > limit).drop("_n")
     if big.isEmpty():
