@@ -98,7 +98,7 @@ def parse_regions(lines: DataFrame) -> DataFrame:
     out = rows.select("file", "line_no", F.regexp_extract("_h", head, 1).cast("long").alias("feature_id"), F.regexp_extract("_h", head, 2).alias("galaxy"),
                       kind.alias("type"), F.regexp_extract("v", shape, 1).alias("kind"), nums.alias("n"))
     good = out.where(F.col("type").isNotNull() & (F.size("n") >= 4) & (F.size("n") % 2 == 0) & ~F.exists("n", lambda x: x.isNull()))
-    verts = F.expr("transform(sequence(0, size(n) div 2 - 1), i -> struct(n[2 * i] as ra, n[2 * i + 1] as dec))")
+    verts = F.expr("transform(sequence(0, size(n) div 2 - 1), i -> struct(get(n, 2 * i) as ra, get(n, 2 * i + 1) as dec))")
     return good.select("file", "line_no", "feature_id", "galaxy", "type", "kind", verts.alias("verts"))
 
 
