@@ -136,17 +136,16 @@ def taxonomy_block(candidates: DataFrame, num_gt: DataFrame, units: DataFrame, k
     ``num_gt``: keys + num_gt. Distinct covered ground truths are counted once per key.
     """
     keys = list(keys)
-    agg = candidates.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("num_pred"),
-        F.count_if(F.col("taxonomy_label").isin(*MATCHED)).alias("matched_candidates"),
-        *[F.count_if(F.col("taxonomy_label") == label).alias(label) for label in TAXONOMY],
-    )
-    covered = (
-        candidates.where(F.col("taxonomy_label").isin(*MATCHED)).select(*keys, "matched_gt_id").distinct()
-        .groupBy(*keys).agg(F.count("matched_gt_id").alias("unique_gt_covered"))
-    )
+    hit = F.col("taxonomy_label").isin(*MATCHED)
+    # One pass: first per covered ground truth, so that the distinct count becomes a plain count.
+    per = candidates.groupBy(*keys, F.when(hit, F.col("matched_gt_id")).alias("_g")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(hit).alias("_m"),
+        *[F.count_if(F.col("taxonomy_label") == label).alias(label) for label in TAXONOMY])
+    agg = per.groupBy(*keys).agg(
+        F.sum("_n").alias("num_pred"), F.sum("_m").alias("matched_candidates"), F.count("_g").alias("unique_gt_covered"),
+        *[F.sum(label).alias(label) for label in TAXONOMY])
     out = units.select(*keys).distinct()
-    for part in (agg, covered, num_gt.select(*keys, "num_gt")):
+    for part in (agg, num_gt.select(*keys, "num_gt")):
         out = out.join(part, keys, "left")
     out = out.na.fill(0)
     p = F.try_divide("matched_candidates", "num_pred")

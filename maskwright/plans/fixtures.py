@@ -108,12 +108,17 @@ class Tables:
     def pred_of(self, label: str) -> DataFrame:
         return self.pred_runs.where(F.col("type_label") == label)
 
+    def measured(self, pred: DataFrame) -> DataFrame:
+        """Predictions with area, centroid and distance. The runs keep the partitioning of the
+        boxes, so neither the aggregation nor the join moves them."""
+        runs = self.jag(pred, R.MASK)
+        m = shape.centroids(shape.moments(runs)).select(*R.MASK, "area", "cx", "cy")
+        m = m.withColumn("dist_to_center", shape.dist_to_center(F.col("cx"), F.col("cy"), SIDE, SIDE))
+        return pred.drop("y0", "y1", "x0", "x1").join(m, R.MASK)
+
     @cached_property
     def pred_m(self) -> DataFrame:
-        """Predictions with area, centroid and distance; the instance id doubles as raw index."""
-        m = shape.centroids(shape.moments(self.pred_runs)).select(*R.MASK, "area", "cx", "cy")
-        m = m.withColumn("dist_to_center", shape.dist_to_center(F.col("cx"), F.col("cy"), SIDE, SIDE))
-        return self.pred.drop("y0", "y1", "x0", "x1").join(m, R.MASK)
+        return self.measured(self.pred)
 
     @cached_property
     def gt_m(self) -> DataFrame:
@@ -126,7 +131,7 @@ class Tables:
 
     @cached_property
     def sats(self) -> DataFrame:
-        return self.pred_m.where("type_label = 'satellites'")
+        return self.measured(self.pred.where("type_label = 'satellites'"))
 
     @cached_property
     def candidates(self) -> DataFrame:
