@@ -92,7 +92,7 @@ def gated(t):
 
 def post_candidates(t):
     """Classified satellites that pass the gate; overlaps with the dropped ones are not needed."""
-    return match.classify_candidates(t.sat_pairs, gated(t), roi=ROI)
+    return match.classify_candidates(t.sat_hits, gated(t), roi=ROI)
 
 
 def num_gt(t):
@@ -104,8 +104,7 @@ def num_gt(t):
 
 def blocks(t, candidates):
     scoped = candidates.withColumn("scope", F.explode(F.when(F.col("intersects_roi"), F.array(F.lit("full_frame"), F.lit("roi"))).otherwise(F.array(F.lit("full_frame")))))
-    n = num_gt(t)
-    return score.taxonomy_block(scoped, n, n, ("image_id", "scope"))
+    return score.taxonomy_block(scoped, num_gt(t), keys=("image_id", "scope"))
 
 
 @query("a6_taxonomy_block", "SELECT * FROM raw_blocks", doubles="precision recall f1", ctes=_CTES)
@@ -331,7 +330,7 @@ _SWEEP = {
 
 
 def _sweep(t):
-    primary = match.primary_match(t.sat_pairs, t.sats.withColumn("raw_index", F.col("inst_id")))
+    primary = match.primary_match(t.sat_hits, t.sats.withColumn("raw_index", F.col("inst_id")))
     gt = R.window_fraction(t.gt_of("satellites"), ROI).groupBy("image_id").agg(
         F.count(F.lit(1)).alias("num_gt"), F.count_if(F.col("inside_px") > 0).alias("num_gt_roi"))
     cfg = post.PostConfig(sanity=None, gate=GATE, prior=PRIOR, core=CORE, conflict=None)

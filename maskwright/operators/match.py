@@ -38,6 +38,12 @@ def overlap_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
+def hits(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """Overlaps with the ground-truth area only: all that primary matches need."""
+    ga = areas(gt).withColumnsRenamed({"inst_id": "gt_id", "area": "gt_area"})
+    return pair_intersections(pred, gt).join(ga, ["image_id", "gt_id"])
+
+
 def self_overlaps(runs: DataFrame) -> DataFrame:
     """Pairs of different instances of one image that share pixels (id_a < id_b)."""
     at = ["image_id", "y", "tile"]

@@ -130,10 +130,12 @@ def _empty_rules(p: Column, r: Column, f: Column) -> tuple[Column, Column, Colum
     )
 
 
-def taxonomy_block(candidates: DataFrame, num_gt: DataFrame, units: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+def taxonomy_block(candidates: DataFrame, num_gt: DataFrame, units: DataFrame | None = None,
+                   keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Counts and precision, recall, F1 of classified candidates for every row of ``units``.
 
-    ``num_gt``: keys + num_gt. Distinct covered ground truths are counted once per key.
+    ``num_gt``: keys + num_gt; without ``units`` its rows are the units. Distinct covered ground
+    truths are counted once per key.
     """
     keys = list(keys)
     hit = F.col("taxonomy_label").isin(*MATCHED)
@@ -144,10 +146,10 @@ def taxonomy_block(candidates: DataFrame, num_gt: DataFrame, units: DataFrame, k
     agg = per.groupBy(*keys).agg(
         F.sum("_n").alias("num_pred"), F.sum("_m").alias("matched_candidates"), F.count("_g").alias("unique_gt_covered"),
         *[F.sum(label).alias(label) for label in TAXONOMY])
-    out = units.select(*keys).distinct()
-    for part in (agg, num_gt.select(*keys, "num_gt")):
-        out = out.join(part, keys, "left")
-    out = out.na.fill(0)
+    out = num_gt.select(*keys, "num_gt")
+    if units is not None:
+        out = units.select(*keys).distinct().join(out, keys, "left")
+    out = out.join(agg, keys, "left").na.fill(0)
     p = F.try_divide("matched_candidates", "num_pred")
     r = F.try_divide("unique_gt_covered", "num_gt")
     ep, er, ef = _empty_rules(p, r, f1(p, r))

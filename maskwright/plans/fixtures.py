@@ -129,6 +129,11 @@ class Tables:
     def sat_pairs(self) -> DataFrame:
         return match.overlap_pairs(self.pred_of("satellites"), self.gt_of("satellites"))
 
+    @cached_property
+    def sat_hits(self) -> DataFrame:
+        """Shared pixels of satellite pairs with the area of the ground truth only."""
+        return match.hits(self.pred_of("satellites"), self.gt_of("satellites"))
+
     @cached_property
     def sats(self) -> DataFrame:
         return self.measured(self.pred.where("type_label = 'satellites'"))
@@ -137,7 +142,7 @@ class Tables:
     def candidates(self) -> DataFrame:
         """Classified raw satellite predictions."""
         sats = self.sats.withColumn("raw_index", F.col("inst_id"))
-        return match.classify_candidates(self.sat_pairs, sats, roi=ROI)
+        return match.classify_candidates(self.sat_hits, sats, roi=ROI)
 
 
 # The same tables in SQL. Pixels are spelled out, so the check does not share the run algebra.

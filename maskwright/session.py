@@ -17,6 +17,7 @@ def local_session(cores: str = "8", app: str = "maskwright") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("MASKWRIGHT_DRIVER_MEMORY", "12g"))
         .getOrCreate()
