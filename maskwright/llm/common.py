@@ -31,9 +31,10 @@ def fold(column: str, parts: int) -> Column:
 
 
 def unit_draw(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the columns only."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the seed and the columns only (52 bits of an md5)."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts).cast("binary")), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskwright.llm import language, mixing, packing, secrets
+from maskwright.llm import language, minhash, mixing, packing, secrets, topk, vectors
 from maskwright.llm.common import fold
 
 
@@ -23,6 +23,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("__score").alias("score"), F.col("__rejected").alias("rejected"))
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors."""
+    return vectors.near_duplicate_vectors(embeddings(spark, sf_dir))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best rows for every vector whose id is divisible by 100."""
+    rows = embeddings(spark, sf_dir)
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mixture takes."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -43,6 +63,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
+    f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op4_embedding_dedup, op5_exact_top_k, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
 }
 SQL: dict[str, str] = {}
