@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskwright.llm import language, minhash, mixing, packing, secrets, topk, vectors
+from maskwright.llm import language, minhash, mixing, packing, secrets, topk, toxicity, vectors
 from maskwright.llm.common import fold
 
 
@@ -28,6 +28,15 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels and texts that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), labels.where(fold("doc_id", 5) != 0))
+    out = toxicity.score(docs, model).withColumnRenamed("__score", "score")
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -63,6 +72,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op4_embedding_dedup, op5_exact_top_k, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
+    f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_toxicity, op4_embedding_dedup, op5_exact_top_k, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
 }
 SQL: dict[str, str] = {}
