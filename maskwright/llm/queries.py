@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskwright.llm import language, minhash, mixing, packing, secrets, topk, toxicity, vectors
+from maskwright.llm import language, lm, minhash, mixing, packing, quality, secrets, topk, toxicity, vectors
 from maskwright.llm.common import fold
 
 
@@ -52,6 +52,22 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0))
 
 
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, learned from the six sevenths that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = lm.score(docs, docs.where(fold("doc_id", 7) != 2))
+    return out.withColumn("held_out", fold("doc_id", 7) == 2)
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards those labelled as good, learned from labels that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.where((F.col("quality") == 1) & (fold("doc_id", 5) != 0)).select("doc_id").distinct()
+    out = quality.resample(docs, quality.fit(docs.join(good, "doc_id", "left_semi"), docs))
+    return out.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of each document the mixture takes."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -72,6 +88,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_minhash_dedup, op3_toxicity, op4_embedding_dedup, op5_exact_top_k, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
+    f.__name__: f
+    for f in (op1_language_id, op2_minhash_dedup, op3_toxicity, op4_embedding_dedup, op5_exact_top_k, op6_context_mixing,
+              op7_importance_resampling, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
 }
 SQL: dict[str, str] = {}
