@@ -28,14 +28,18 @@ def default_tokenizer() -> str:
 class StretchTokenizer:
     """Token ids of whole texts; every distinct stretch of text is tokenized once per worker.
 
-    Texts are cut before single spaces between two characters that are no white space. The
-    tokenizer's own pattern always starts a new token run there, so the ids of the stretches one
-    after the other are those of the text. Stretches are recognised by a 64-bit hash. The memory
+    Texts are cut before a space and around a line break that stand alone between two characters that
+    are no white space, and before a mark that follows a letter. The tokenizer's own pattern always
+    starts a new run there, so the ids of the stretches one after the other are those of the text. Stretches are recognised by a 64-bit hash. The memory
     holds ``CACHED_STRETCHES`` stretches and starts anew when full.
     """
 
     _white = np.zeros(256, bool)
     _white[[*range(9, 14), *range(28, 33)]] = True
+    _mark = np.zeros(256, bool)
+    _mark[list(b".,;:!?")] = True
+    _letter = np.zeros(256, bool)
+    _letter[[*range(65, 91), *range(97, 123)]] = True
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,16 +54,27 @@ class StretchTokenizer:
         self.pool, self.used = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(data == 0x20)
-        at = at[(at >= 3) & (at + 1 < len(data))]
+    def _starts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """First byte of every stretch."""
+        n = len(data)
+        cut = np.zeros(n + 1, bool)
+        at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        at = at[(at >= 3) & (at + 1 < n)]
         one, two, three, after = data[at - 1], data[at - 2], data[at - 3], data[at + 1]
         wide = ((three >= 0xE1) & (three <= 0xE3) & (one >= 0x80)) | (two == 0xC2)  # may be white space beyond ASCII
         wide |= (after == 0xC2) | ((after >= 0xE1) & (after <= 0xE3))
         at = at[~(self._white[one] | self._white[after] | wide)]
-        last = np.zeros(len(data) + 1, bool)
+        last = np.zeros(n + 1, bool)
         last[bounds[1:]] = True
-        return at[~last[at + 1]]
+        at = at[~last[at + 1]]
+        cut[at] = True
+        cut[at[data[at] == 0x0A] + 1] = True
+        mark = np.flatnonzero(self._mark[data])
+        mark = mark[mark >= 2]
+        one, two = data[mark - 1], data[mark - 2]
+        cut[mark[self._letter[one] | ((two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))]] = True
+        cut[bounds[:-1]] = True
+        return np.flatnonzero(cut[:n])
 
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> None:
         raw = data.tobytes()
@@ -83,7 +98,7 @@ class StretchTokenizer:
         data, bounds = text_bytes(texts)
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
-        starts = np.union1d(bounds[:-1][bounds[:-1] < bounds[1:]], self._cuts(data, bounds))
+        starts = self._starts(data, bounds)
         ends = np.append(starts[1:], len(data))
         hashes = np.maximum(span_hashes(data, starts, ends), U64(1))
         if self.index.size > CACHED_STRETCHES:
