@@ -11,14 +11,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm import language, minhash, mixing, packing, secrets
-from maskwright.llm.common import fold, keep_columns
+from maskwright.llm.common import fold, packed, unpacked
 from maskwright.session import ensure_checkpoint_dir
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and is not too far from every learned language."""
-    model = language.fit(docs.where(fold("doc_id", 5) != 0))
-    return keep_columns(language.predict(docs, model).where("NOT __rejected"), docs)
+    rows = packed(docs, "doc_id", "text", "lang")
+    model = language.fit(rows.where(fold("doc_id", 5) != 0))
+    return unpacked(language.predict(rows.select("row", "text"), model).where("NOT __rejected"))
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,8 +128,13 @@ def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
-def keep_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """All columns as one struct ``row`` and the named ones beside it, so that no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[F.col(f"`{n}`") for n in names])
+
+
+def unpacked(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
 
 
 class HashIndex:

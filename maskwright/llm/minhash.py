@@ -16,7 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from maskwright.llm.common import U64, list_array, lower_ascii, mix, ranges, signed, span_hashes, text_bytes, text_slices, word_bounds
+from maskwright.llm.common import (
+    U64, list_array, lower_ascii, mix, packed, ranges, signed, span_hashes, text_bytes, text_slices, unpacked, word_bounds,
+)
 from maskwright.operators.match import connected_components
 from maskwright.session import cut
 
@@ -209,12 +211,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Of rows that repeat the id of a kept document one stays.
     """
-    kept = cut(near_duplicates(docs, key, text).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")))
-    kept = kept.withColumnRenamed("doc_id", "__kept")
+    kept = near_duplicates(docs, key, text).where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
+    kept = cut(kept.agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("doc_id", "id"))
+    rows = packed(docs, key).withColumnRenamed(key, "key")
 
     def having(ids: DataFrame) -> DataFrame:
-        return docs.join(ids, F.col(f"`{key}`") == F.col("__kept"), "left_semi")
+        return rows.join(ids, F.col("key") == F.col("id"), "left_semi")
 
     once, often = kept.where("times = 1"), kept.where("times > 1")
-    out = having(once).union(docs.where(F.col(f"`{key}`").isNull()))
-    return out if often.isEmpty() else out.union(having(often).dropDuplicates([key]))
+    out = having(once).union(rows.where("key IS NULL"))
+    return unpacked(out if often.isEmpty() else out.union(having(often).dropDuplicates(["key"])))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from maskwright.llm.common import WORD, as_text, unit_draw
+from maskwright.llm.common import WORD, as_text, packed, unit_draw, unpacked
 
 #: Up to this many sources the table of rates is sent to every task; beyond it Spark joins by source.
 BROADCAST_SOURCES = 10_000
@@ -65,6 +65,5 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Texts without words and null texts have size 0; they follow their source's rate like others.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    picked = copies(docs, **options).where("__copies > 0")
-    return picked.select(*columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("__copy")).drop("__copy")
+    picked = copies(packed(docs, "doc_id", "text", "source"), **options).where("__copies > 0")
+    return unpacked(picked.select("row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))))

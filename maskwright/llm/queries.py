@@ -92,4 +92,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_language_id, op2_minhash_dedup, op3_toxicity, op4_embedding_dedup, op5_exact_top_k, op6_context_mixing,
               op7_importance_resampling, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
 }
-SQL: dict[str, str] = {}
+
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+
+SQL: dict[str, str] = {
+    "op2_minhash_dedup": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END, ' ') AS s
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * k >= 75 * (nx.n + ny.n - k)),
+both_ways AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM w UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON w.doc_id = c.x""",
+    "op4_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok FROM embeddings
+), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE ok),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v LEFT JOIN n ON v.vec_id = n.x JOIN c ON v.vec_id = c.x""",
+    "op5_exact_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
+    "op8_mix_sources": rf"""
+WITH d AS (SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss FROM d GROUP BY source),
+t AS (SELECT *, 3.0::DOUBLE * ss AS stop, (ARRAY[5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM s),
+u AS (SELECT *, stop / w AS rise FROM t),
+l AS (SELECT *, (sum(ss) OVER () - coalesce(sum(stop) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM u
+  WINDOW o AS (ORDER BY rise, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, ss, least(stop, (SELECT level FROM l WHERE level <= rise ORDER BY rise, source NULLS LAST LIMIT 1) * w) AS target FROM l),
+r AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE least(target / ss, 3.0::DOUBLE) END AS rate FROM g)
+SELECT d.doc_id, d.size::BIGINT AS size, r.ss AS source_size, r.target,
+  (d.size * (floor(rate) + (('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(d.text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::INT))::BIGINT AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+}

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from maskwright.llm.common import packed
+
 #: Patterns of the base kinds, in the order that breaks ties of start (fixed values of the contract).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -166,14 +168,13 @@ def redact_documents(docs: DataFrame, text: str = "text", length: str = "n_chars
 
     Null texts stay null, texts without secrets stay as they are.
     """
-    out = scan(docs, text, redact=True).withColumnRenamed("__text", "__clean")
-    changed = F.col("__spans") != ""
+    out = scan(packed(docs, text), text, redact=True)
     columns = []
     for f in docs.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = F.col("row").getField(f.name)
         if f.name == text:
-            c = F.col("__clean")
+            c = F.col("__text")
         elif f.name == length:
-            c = F.when(changed, F.length("__clean")).otherwise(c)
+            c = F.when(F.col("__spans") != "", F.length("__text")).otherwise(c)
         columns.append(c.cast(f.dataType).alias(f.name))
     return out.select(*columns)
