@@ -113,7 +113,7 @@ FROM w LEFT JOIN n USING (doc_id) JOIN c ON w.doc_id = c.x""",
     "op4_embedding_dedup": """
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e, embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AS ok FROM embeddings
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS ok FROM embeddings
 ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE ok),
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
 n AS (SELECT x, count(*) AS n_links FROM l GROUP BY x),
@@ -123,8 +123,8 @@ SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = compo
 FROM v LEFT JOIN n ON v.vec_id = n.x JOIN c ON v.vec_id = c.x""",
     "op5_exact_top_k": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
 )

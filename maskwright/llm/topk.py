@@ -98,7 +98,7 @@ def _searched(groups: DataFrame, k: int) -> DataFrame:
         floors = [-np.inf if floors[i] is None else floors[i] for i in q]
         found = search(BallTree(x[c].astype(np.float64)), x[c], ids[c], x[q], ids[q], floors, k)
         sizes = [len(n) for n, _ in found]
-        scores = [int(s) for _, row in found for s in row]
+        scores = [max(-(2**63), min(2**63 - 1, int(s))) for _, row in found for s in row]
         return pa.table({"query_id": np.repeat(ids[q], sizes), "vec_id": np.concatenate([n for n, _ in found]), "score": pa.array(scores, pa.int64())})
 
     return groups.groupBy("dim", "shard", "block").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
@@ -112,7 +112,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, key: str = "vec_id
     shard; the k-th scores found there are the floors of its queries in all other shards. Own id
     excluded; ties go to the smaller id. Vectors that are null, empty or hold null or non-finite
     components, or have no id, take no part; zero vectors do. Only vectors of one length meet. Rows that repeat
-    an id are candidates of their own; equal queries of one id are one query. Fewer than ``k`` rows: all of them.
+    an id are candidates of their own; equal queries of one id are one query. Fewer than ``k`` rows: all of them. Scores
+    beyond the range of a long are given as its limits, ranked by their true size inside a shard.
     """
     def whole(df: DataFrame) -> DataFrame:
         df = df.select(F.col(f"`{key}`").cast("bigint").alias("vec_id"), F.col(f"`{vector}`").alias("v"))
