@@ -137,6 +137,12 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+def sent_if_small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """``df`` (narrow and already written) marked for broadcast when it has at most ``rows`` rows; else as it is,
+    and Spark joins by key."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class HashIndex:
     """Open addressing from 64-bit hashes to numbers, looked up and filled array-wise."""
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from maskwright.llm.common import (
-    U64, list_array, lower_ascii, mix, packed, ranges, signed, span_hashes, text_bytes, text_slices, unpacked, word_bounds,
+    U64, list_array, lower_ascii, mix, packed, ranges, sent_if_small, signed, span_hashes, text_bytes, text_slices, unpacked, word_bounds,
 )
 from maskwright.operators.match import connected_components
 from maskwright.session import cut
@@ -113,10 +113,10 @@ def confirm(edges: DataFrame, docs: DataFrame, part: int = PART, share: int = SH
     """
     sizes = edges.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / F.lit(RUN)).cast("int").alias("runs"))
     dealt = edges.join(sizes, "centre").withColumn("run", F.pmod(F.xxhash64("member"), F.col("runs")))
-    wanted = dealt.select("centre", "run", F.lit(1).alias("role"), F.col("member").alias("doc_id")).union(
+    wanted = cut(dealt.select("centre", "run", F.lit(1).alias("role"), F.col("member").alias("doc_id")).union(
         dealt.select("centre", "run").distinct().select("centre", "run", F.lit(0).alias("role"), F.col("centre").alias("doc_id"))
-    )
-    texts = wanted.join(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()), "doc_id")
+    ))
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(sent_if_small(wanted), "doc_id")
     texts = texts.repartition("centre", "run").sortWithinPartitions("centre", "run", "role", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,13 +211,13 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     Of rows that repeat the id of a kept document one stays.
     """
-    kept = near_duplicates(docs, key, text).where("kept AND doc_id IS NOT NULL").groupBy("doc_id")
-    kept = cut(kept.agg(F.count(F.lit(1)).alias("times")).withColumnRenamed("doc_id", "id"))
+    ids = near_duplicates(docs, key, text).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id"))
+    ids = ids.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")).where("NOT kept OR times > 1")
+    ids = cut(ids)
     rows = packed(docs, key).withColumnRenamed(key, "key")
-
-    def having(ids: DataFrame) -> DataFrame:
-        return rows.join(ids, F.col("key") == F.col("id"), "left_semi")
-
-    once, often = kept.where("times = 1"), kept.where("times > 1")
-    out = having(once).union(rows.where("key IS NULL"))
-    return unpacked(out if often.isEmpty() else out.union(having(often).dropDuplicates(["key"])))
+    often = ids.where("kept")
+    out = rows.join(sent_if_small(ids.select("id")), F.col("key") == F.col("id"), "left_anti")
+    if not often.isEmpty():
+        again = rows.join(sent_if_small(often.select("id")), F.col("key") == F.col("id"), "left_semi")
+        out = out.union(again.dropDuplicates(["key"]))
+    return unpacked(out)
