@@ -149,7 +149,7 @@ def _(t):
                          n.where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("key"), (F.col("n_regionkey") % 3).cast("string").alias("value")))
 
 
-# -- evidence: the signal of a frame, rings at half the usual radii -------------------------------
+# -- evidence: the signal of a frame around each mask ---------------------------------------------
 
 def strips(t):
     row = t.images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(SIDE - 1))).alias("y"))
@@ -158,27 +158,33 @@ def strips(t):
 
 _RING = {"rings": """
     SELECT image_id, inst_id, r, sqrt((x - cx) * (x - cx) + (y - cy) * (y - cy)) AS d, ((x * 7 + y * 13 + image_id) % 150)::DOUBLE AS s FROM (
-      SELECT *, unnest(range(greatest(0, floor(cx - 3 * r))::BIGINT, least(255, ceil(cx + 3 * r))::BIGINT + 1)) AS x FROM (
-        SELECT image_id, inst_id, cx, cy, sqrt(area / pi()) AS r, unnest(range(greatest(0, floor(cy - 3 * sqrt(area / pi())))::BIGINT, least(255, ceil(cy + 3 * sqrt(area / pi())))::BIGINT + 1)) AS y
-        FROM pred_m WHERE type_label = 'satellites'))"""}
+      SELECT *, unnest(range(greatest(0, floor(cx - 6 * r))::BIGINT, least(255, ceil(cx + 6 * r))::BIGINT + 1)) AS x FROM (
+        SELECT image_id, inst_id, cx, cy, sqrt(area / pi()) AS r, unnest(range(greatest(0, floor(cy - 6 * sqrt(area / pi())))::BIGINT, least(255, ceil(cy + 6 * sqrt(area / pi())))::BIGINT + 1)) AS y
+        FROM pred_m WHERE type_label = 'satellites'))""",
+    "ann": """
+    SELECT image_id, inst_id, round(avg(s) FILTER (d >= 1.2::DOUBLE * r AND d < 2 * r) - avg(s) FILTER (d >= 4 * r AND d < 6 * r), 6) AS annulus_excess FROM rings GROUP BY ALL""",
+    "rad": """
+    SELECT image_id, inst_id, CASE WHEN count(*) = 6 THEN (count(*) FILTER (m < p))::DOUBLE / 5 END AS radial_monotonicity FROM (
+      SELECT *, lag(m) OVER (PARTITION BY image_id, inst_id ORDER BY k) AS p FROM (
+        SELECT image_id, inst_id, floor(d / (r * 2.0::DOUBLE / 6)) AS k, round(avg(s), 9) AS m FROM rings WHERE floor(d / (r * 2.0::DOUBLE / 6)) < 6 GROUP BY ALL)) GROUP BY ALL"""}
 
 
-@query("g10_annulus_excess", """
-    SELECT image_id, inst_id, round(avg(s) FILTER (d >= 0.6::DOUBLE * r AND d < r) - avg(s) FILTER (d >= 2 * r AND d < 3 * r), 6) AS annulus_excess FROM rings GROUP BY ALL""", ctes=_RING)
+@query("g10_annulus_excess", "SELECT * FROM ann", ctes=_RING)
 def _(t):
-    e = I.annulus_excess(t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE, 0.6, 1.0)
+    e = I.annulus_excess(t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE)
     return e.select("image_id", "inst_id", F.round("annulus_excess", 6).alias("annulus_excess"))
 
 
-@query("g11_radial_monotonicity", """
-    SELECT image_id, inst_id, CASE WHEN count(*) = 6 THEN (count(*) FILTER (m < p))::DOUBLE / 5 END AS radial_monotonicity FROM (
-      SELECT *, lag(m) OVER (PARTITION BY image_id, inst_id ORDER BY k) AS p FROM (
-        SELECT image_id, inst_id, floor(d / (r / 6)) AS k, round(avg(s), 9) AS m FROM rings WHERE floor(d / (r / 6)) < 6 GROUP BY ALL)) GROUP BY ALL""",
-    doubles="radial_monotonicity", ctes=_RING)
+@query("g11_radial_monotonicity", "SELECT * FROM rad", doubles="radial_monotonicity", ctes=_RING)
 def _(t):
-    return I.radial_monotonicity(t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE, 6, 1.0)
+    return I.radial_monotonicity(t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE)
 
 
-@query("a5_candidate_table")
+@query("a5_candidate_table", """
+    SELECT image_id, inst_id, inst_id AS raw_index, area AS seed_area, score AS confidence_score, matched_gt_id, matched_gt_area, overlap_px, purity, completeness, seed_gt_ratio,
+           is_one_to_one, NULL::DOUBLE AS host_background_frac, intersects_roi, annulus_excess, radial_monotonicity, taxonomy_label, label_reason
+    FROM candidates LEFT JOIN ann USING (image_id, inst_id) LEFT JOIN rad USING (image_id, inst_id)""",
+    doubles="confidence_score purity completeness seed_gt_ratio radial_monotonicity", ctes=_RING)
 def _(t):
-    return I.candidate_table(t.candidates, t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE, 0.6, 1.0)
+    c = I.candidate_table(t.candidates, t.sats.select("image_id", "inst_id", "area", "cx", "cy"), strips(t), SIDE, SIDE)
+    return c.withColumn("annulus_excess", F.round("annulus_excess", 6))

@@ -80,7 +80,13 @@ def _(t):
     return V.spot_check_ev(variants(t))
 
 
-@query("a33_mv_ev_consistency")
+@query("a33_mv_ev_consistency", """
+    SELECT count(*) FILTER (a) AS all_accept, count(*) FILTER (a AND ev = 'confirm_complete') AS consistent, count(*) FILTER (a AND ev <> 'confirm_complete') AS inconsistent,
+           count(*) FILTER (a AND ev IS NULL) AS missing_ev, count(*) FILTER (a IS NOT NULL AND ev IS NOT NULL) AS in_both, count(*) FILTER (a IS NOT NULL AND ev IS NULL) AS mv_only,
+           count(*) FILTER (a IS NULL) AS ev_only
+    FROM (SELECT image_id, bool_and(decision_label = 'accept') AS a FROM labelled WHERE decision_label IS NOT NULL GROUP BY ALL)
+    FULL JOIN (SELECT image_id, max(decision_label) AS ev FROM variants WHERE variant_id = 'gt_complete' GROUP BY ALL) USING (image_id)""",
+       ctes={**_C, **_variant_ctes(t="satellites", k=3, label="add_missing")})
 def _(t):
     return V.mv_ev_consistency(_labels(t), variants(t))
 
@@ -210,12 +216,21 @@ def _(t):
     return _chat(t)
 
 
-@query("r12_content_hash")
+_HASH = {**_CHAT, "per": """
+    SELECT task_family, substr(sha256(example_id), 1, 3) AS b, count(*) AS n, sum(('0x' || substr(h, 1, 15))::HUGEINT) AS s0, sum(('0x' || substr(h, 16, 15))::HUGEINT) AS s1,
+           sum(('0x' || substr(h, 31, 15))::HUGEINT) AS s2, sum(('0x' || substr(h, 46, 15))::HUGEINT) AS s3 FROM (SELECT *, sha256(line) AS h FROM chat) GROUP BY ALL""",
+         "tree": """
+    SELECT {f} sum(n)::BIGINT AS num_records, sha256(string_agg(b || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3, chr(10) ORDER BY b || ':' || n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3)) AS content_sha256
+    FROM {p} GROUP BY ALL"""}
+
+
+@query("r12_content_hash", "SELECT * FROM tree", ctes={**_HASH, "tree": _HASH["tree"].format(
+    f="", p="(SELECT b, sum(n)::BIGINT AS n, sum(s0) AS s0, sum(s1) AS s1, sum(s2) AS s2, sum(s3) AS s3 FROM per GROUP BY b)")})
 def _(t):
     return V.content_hash(_chat(t), "example_id")
 
 
-@query("r13_round_contents")
+@query("r13_round_contents", "SELECT * FROM tree", ctes={**_HASH, "tree": _HASH["tree"].format(f="task_family,", p="per")})
 def _(t):
     """Number of records and digest of each family of a round."""
     rows = _chat(t)
@@ -239,7 +254,7 @@ _COR = {"cor": """
     SELECT o_custkey::BIGINT AS sample_id, o_orderkey::BIGINT AS line_no, CASE WHEN o_orderkey % 7 = 0 THEN 'stale_revision' WHEN o_orderkey % 4 = 2 THEN 'variant_not_safe'
       WHEN o_orderkey % 4 = 0 AND o_orderkey % 12 = 0 THEN 'rejected_candidate' WHEN o_orderkey % 4 = 0 AND o_orderkey % 20 = 0 THEN 'no_instance' END AS why, o_orderkey % 4 <> 0 AS ev FROM orders""",
     "outc": """
-    SELECT c.sample_id, line_no, coalesce(why, CASE WHEN ev AND line_no > f.first THEN 'stale_revision' END) AS refusal
+    SELECT c.sample_id, line_no, CASE WHEN ev AND line_no > f.first THEN 'stale_revision' ELSE why END AS refusal
     FROM cor c LEFT JOIN (SELECT sample_id, min(line_no) AS first FROM cor WHERE why IS NULL GROUP BY ALL) f USING (sample_id)"""}
 
 

@@ -9,6 +9,7 @@ from maskwright.functions.policies import TAXONOMY, Taxonomy
 from maskwright.operators import match, runs as R, score, shape, tradeoff
 from maskwright.plans import post
 from maskwright.plans.fixtures import ROI, SIDE
+from maskwright.operators.quantiles import with_quantiles
 
 _PIX = """
     SELECT image_id, tp, fp, fn, 2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0) AS dice, tp::DOUBLE / nullif(tp + fp, 0) AS pixel_precision,
@@ -588,9 +589,9 @@ def _(t):
     SELECT type_label, min(area)::DOUBLE AS v_min, quantile_cont(area::DOUBLE, 0.25) AS p25, quantile_cont(area::DOUBLE, 0.5) AS median, quantile_cont(area::DOUBLE, 0.75) AS p75, max(area)::DOUBLE AS v_max
     FROM gt_m GROUP BY ALL""")
 def _(t):
-    return t.gt_m.groupBy("type_label").agg(
-        F.min("area").cast("double").alias("v_min"), F.expr("percentile(area, 0.25D)").alias("p25"), F.expr("percentile(area, 0.5D)").alias("median"),
-        F.expr("percentile(area, 0.75D)").alias("p75"), F.max("area").cast("double").alias("v_max"))
+    ends = t.gt_m.groupBy("type_label").agg(
+        F.min("area").cast("double").alias("v_min"), F.max("area").cast("double").alias("v_max"))
+    return with_quantiles(ends, t.gt_m, ["type_label"], "area", {"p25": 0.25, "median": 0.5, "p75": 0.75})
 
 
 @query("a36_pixel_summary", """

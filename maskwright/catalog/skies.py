@@ -143,9 +143,11 @@ def _(t):
     return G.thresholds_from(rec, "satellites", {"min_area": 30, "min_solidity": 0.83, "aspect_sym_moment_max": 1.75})
 
 
-@query("s4_prediction_documents")
+@query("s4_prediction_documents", """
+    SELECT p.image_id, 'raw' AS layer, n AS n_predictions, b.first_area, b.first_box FROM (SELECT image_id, count(*) AS n, min(inst_id) AS inst_id FROM pred GROUP BY ALL) p JOIN (
+      SELECT image_id, inst_id, count(*) AS first_area, '[' || min(x) || '.0,' || min(y) || '.0,' || (max(x) - min(x) + 1) || '.0,' || (max(y) - min(y) + 1) || '.0]' AS first_box FROM pred_px GROUP BY ALL) b USING (image_id, inst_id)""")
 def _(t):
-    """Documents per image, read back as candidate counts."""
+    """Documents per image, read back: the count, and area and box of the first prediction."""
     from maskwright.operators.dataset import assign_stable_ids
     from maskwright.sources.masks import encode_rle
     from maskwright.sources.writers import prediction_documents
@@ -155,7 +157,8 @@ def _(t):
     m = t.pred_m.join(encode_rle(t.pred_runs, SIDE, SIDE).select(*key, "counts"), key).join(box, key)
     docs = prediction_documents(assign_stable_ids(m, [F.col("inst_id")]), SIDE, SIDE)
     n = F.get_json_object("value", "$.n_predictions").cast("long")
-    return docs.select("image_id", "layer", n.alias("n_predictions"))
+    first = [F.get_json_object("value", f"$.predictions[0].{k}") for k in ("area", "bbox_xywh")]
+    return docs.select("image_id", "layer", n.alias("n_predictions"), first[0].cast("long").alias("first_area"), first[1].alias("first_box"))
 
 
 @query("r20_reserved_max", """

@@ -328,15 +328,15 @@ def stream_conflicts(pairs: DataFrame, sats: DataFrame, policy) -> DataFrame:
 # -- components and optimal assignment ------------------------------------------------
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node id of the component of each node (large-star / small-star rounds).
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of the component of each node (large-star / small-star rounds until settled).
 
     ``edges`` has bigint columns u, v. Only aggregates and joins are used, so a node with very
     many neighbours is combined on the map side and split by adaptive skew joins.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -349,8 +349,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if seen == tuple(state):
             break
         seen = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
@@ -432,22 +430,12 @@ def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
                          "pred_id": np.concatenate(out_p), "iou": np.concatenate(out_w)})
 
 
-SMALL_IMAGE = 20_000
-
-
-def solve_groups(edges: DataFrame, left: str, right: str, limit: int = SMALL_IMAGE) -> DataFrame:
-    """Add ``solve_key`` to overlap edges: one key per image up to ``limit`` edges, else one per
-    connected component, so that a crowded image is spread over many tasks."""
-    edges = cut(edges)
-    sized = edges.join(edges.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n")), "image_id")
-    small = sized.where(F.col("_n") <= limit).drop("_n").withColumn("solve_key", F.xxhash64("image_id"))
-    big = sized.where(F.col("_n") > limit).drop("_n")
-    if big.isEmpty():
-        return small
-    keyed = big.withColumn("_u", F.xxhash64(F.lit("l"), "image_id", left)).withColumn("_v", F.xxhash64(F.lit("r"), "image_id", right))
+def solve_groups(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Add ``solve_key`` to overlap edges: one key per connected component, at every size, so that a
+    crowded image is spread over many tasks."""
+    keyed = cut(edges).withColumn("_u", F.xxhash64(F.lit("l"), "image_id", left)).withColumn("_v", F.xxhash64(F.lit("r"), "image_id", right))
     comp = connected_components(keyed.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
-    split = keyed.join(comp.withColumnsRenamed({"node": "_u", "component": "solve_key"}), "_u").drop("_u", "_v")
-    return small.unionByName(split)
+    return keyed.join(comp.withColumnsRenamed({"node": "_u", "component": "solve_key"}), "_u").drop("_u", "_v")
 
 
 def _settled(edges: DataFrame) -> DataFrame:
@@ -467,17 +455,19 @@ def _settled(edges: DataFrame) -> DataFrame:
         "image_id", "gt_id", "pred_id", "iou")
 
 
-def optimal_pairs(pairs: DataFrame, rounds: int = 1) -> DataFrame:
+def optimal_pairs(pairs: DataFrame) -> DataFrame:
     """One-to-one pairs of largest total IoU per image (overlapping pairs only).
 
-    Certain pairs are settled by joins first; what remains is solved exactly per connected
-    component (see ``solve_groups``).
+    Certain pairs are settled by joins, round by round, until a round settles none; the hard core
+    that remains is solved exactly per connected component (see ``solve_groups``).
     """
     edges = cut(pairs.select("image_id", "gt_id", "pred_id", "iou"))
-    fixed: DataFrame | None = None
-    for _ in range(rounds):
+    fixed = edges.where("false")
+    while True:
         sure = cut(_settled(edges))
-        fixed = sure if fixed is None else fixed.union(sure)
+        if sure.isEmpty():
+            break
+        fixed = fixed.union(sure)
         edges = edges.join(sure.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(
             sure.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti"
         )

@@ -14,6 +14,13 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from maskwright.session import cut
 
 
+def _beside(rows: DataFrame, offsets: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Rows with the offsets of their range and group; a NULL group is a group like others."""
+    right = offsets.withColumnsRenamed({k: f"__{k}" for k in ("_range", *group)})
+    same = [rows[k].eqNullSafe(right[f"__{k}"]) for k in ("_range", *group)]
+    return rows.join(right, same).drop(*[f"__{k}" for k in ("_range", *group)])
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
@@ -42,7 +49,7 @@ def number_rows(
         (F.sum("__cnt").over(before.rowsBetween(W.unboundedPreceding, 0)) - F.col("__cnt")).alias("__off"),
     )
     return (
-        numbered.join(offsets, ["_range", *group])
+        _beside(numbered, offsets, group)
         .withColumn(name, (F.col("__row") + F.col("__off") + F.lit(start - 1)).cast("long"))
         .drop("_range", "__row", "__off")
     )
@@ -73,7 +80,7 @@ def running_sums(
         *group,
         *[F.coalesce(F.sum(f"_t_{new}").over(before), F.lit(0)).alias(f"_o_{new}") for new in sums],
     )
-    out = local.join(offsets, ["_range", *group])
+    out = _beside(local, offsets, group)
     for new in sums:
         out = out.withColumn(new, F.col(new) + F.col(f"_o_{new}"))
     return out.drop("_range", *[f"_o_{new}" for new in sums])

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from maskwright.operators.quantiles import exact_quantiles
+from maskwright.session import cut
+
 
 def reject_candidates(raw: DataFrame, post: DataFrame, pairs: DataFrame, max_iou: float = 0.3) -> DataFrame:
     """Raw masks that did not survive (by mask hash) and do not match a ground truth."""
@@ -281,13 +284,13 @@ def chat_rows(examples: DataFrame, prompts: DataFrame) -> DataFrame:
     return rows.select("example_id", "task_family", line.alias("line"))
 
 
-def content_hash(lines: DataFrame, key: str, line: str = "line", buckets: int = 4096) -> DataFrame:
+def content_hash(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """Digest of a table of lines in key order, as a two-level tree.
 
-    Lines are hashed one by one, digests combined per bucket of the key hash, buckets combined
-    last: the final step sees at most ``buckets`` digests.
+    Lines are hashed one by one, digests combined per bucket (the first three hex digits of the key's
+    hash), buckets combined last: the final step sees at most 4096 digests.
     """
-    leaf = lines.select(F.col(key).alias("k"), F.sha2(F.col(line), 256).alias("h")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(buckets)))
+    leaf = lines.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3).alias("b"), F.sha2(F.col(line), 256).alias("h"))
     # Sum of 60-bit digest parts is independent of order and combines on the map side.
     part = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
     per = leaf.groupBy("b").agg(F.count(F.lit(1)).alias("n"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(part)])
@@ -358,7 +361,8 @@ def import_outcomes(corrections: DataFrame) -> DataFrame:
     """Outcome of each line of a batch of corrections, in batch order within a sample.
 
     The first accepted correction of a sample changes its state, so every later image-level
-    correction of the sample is stale; single-mask corrections do not depend on the image state.
+    correction of the sample is stale, whatever else is wrong with it (the state is checked first);
+    single-mask corrections do not depend on the image state.
     Only the position of the first accepted line matters, hence an aggregate and a join instead
     of a sequential pass. Needs the columns of ``write_back_refusals`` and ``line_no``.
     """
@@ -367,7 +371,7 @@ def import_outcomes(corrections: DataFrame) -> DataFrame:
     ev = F.col("task_family").isin("satellite_ev", "stream_ev")
     out = checked.join(first, "sample_id", "left")
     late = ev & (F.col("line_no") > F.col("_first"))
-    return out.withColumn("refusal", F.coalesce("refusal", F.when(late, F.lit("stale_revision")))).withColumn(
+    return out.withColumn("refusal", F.when(late, F.lit("stale_revision")).otherwise(F.col("refusal"))).withColumn(
         "outcome", F.when(F.col("refusal").isNull(), "OK").otherwise("rejected")).drop("_first")
 
 
@@ -389,48 +393,82 @@ def audit_fold(log: DataFrame) -> DataFrame:
     return reserved_ids(log).groupBy("image_id").agg(F.count(F.lit(1)).alias("n_reserved"), F.max("inst_id").alias("max_reserved_id"))
 
 
+SOURCE = ("source_prediction_path", "source_candidate_id", "source_candidate_rle_sha1")
+
+
 def adopt(requests: DataFrame, instances: DataFrame, state: DataFrame, request_runs: DataFrame, log: DataFrame,
-          min_area: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Guarded adoption of one raw candidate per image: verdict per request and the new runs.
+          min_area: int = 30, id_limit: int = ID_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Guarded adoption of raw candidates: verdict per request and the new runs.
 
     ``requests``: image_id, request_id, type_label and the source triple; ``instances`` may carry
     the source triple as provenance. A request is cut to free pixels; its id follows the largest
-    id in use or ever reserved. Several requests for one image go in request order, earlier ones
-    taking pixels first.
+    id in use or ever reserved, up to ``id_limit``. Requests of an image count in request order: only those that
+    were adopted take pixels, and a source triple adopted before makes a later one ``duplicate``.
+
+    A request waits for the earlier ones that share pixels or the triple with it. Each round settles
+    all requests that wait for none, so there are as many rounds as the longest chain has requests.
     """
-    from maskwright.operators.runs import areas, difference_runs, paint, union_runs
+    from maskwright.operators.match import pair_intersections
     from maskwright.operators.numbering import number_rows
+    from maskwright.operators.runs import areas, difference_runs, union_runs
 
-    source = ["source_prediction_path", "source_candidate_id", "source_candidate_rle_sha1"]
+    source = list(SOURCE)
+    key = ["image_id", "request_id"]
     dup = instances.where("type_label = 'satellites'").where(" and ".join(f"{c} is not null" for c in source)).select("image_id", *source).distinct().withColumn("_dup", F.lit(True))
     top = instances.groupBy("image_id").agg(F.max("inst_id").alias("_cur"))
     res = audit_fold(log).select("image_id", F.col("max_reserved_id").alias("_res"))
     base = requests.join(dup, ["image_id", *source], "left").join(top, "image_id", "left").join(res, "image_id", "left")
     base = base.withColumn("_max", F.greatest(F.coalesce("_cur", F.lit(0)), F.coalesce("_res", F.lit(0))))
-    early = F.when(F.col("type_label") != "satellites", "unsupported_type").when(F.coalesce("_dup", F.lit(False)), "duplicate").when(F.col("_max") >= ID_LIMIT, "id_overflow")
-    base = base.withColumn("_why", early)
-    ask = request_runs.join(base.where("_why is null").select("image_id", "request_id"), ["image_id", "request_id"], "left_semi")
-    free = difference_runs(ask.withColumn("inst_id", F.col("request_id")), union_runs(state))
-    # A request too small on free pixels takes none of them from later ones.
-    whole = areas(free).withColumnRenamed("inst_id", "request_id")
-    able = free.join(whole.where(F.col("area") >= min_area).select("image_id", F.col("request_id").alias("inst_id")), ["image_id", "inst_id"], "left_semi")
-    won = paint(able.drop("tile"), -F.col("inst_id"))
-    size = areas(won).select("image_id", F.col("inst_id").alias("request_id"), F.col("area").alias("_won"))
-    out = base.join(whole, ["image_id", "request_id"], "left").join(size, ["image_id", "request_id"], "left")
-    area = F.coalesce("_won", "area", F.lit(0))
-    out = out.withColumn("cropped_area_px", F.when(F.col("_why").isNull(), area)).withColumn(
-        "outcome", F.coalesce("_why", F.when(area == 0, "empty_crop").when(area < min_area, "area_too_small").otherwise("adopted")))
-    given = number_rows(out.where("outcome = 'adopted'").select("image_id", "request_id", "_max"), ["image_id"], [F.col("request_id")], "_k")
-    given = given.select("image_id", "request_id", (F.col("_max") + F.col("_k")).alias("assigned_instance_id"))
-    out = out.join(given, ["image_id", "request_id"], "left").withColumn(
-        "outcome", F.when(F.col("assigned_instance_id") > ID_LIMIT, "id_overflow").otherwise(F.col("outcome"))).withColumn(
-        "assigned_instance_id", F.when(F.col("assigned_instance_id") <= ID_LIMIT, F.col("assigned_instance_id")))
-    verdicts = out.select("image_id", "request_id", "outcome", "assigned_instance_id", "cropped_area_px")
-    new = won.withColumnRenamed("inst_id", "request_id").join(verdicts.where("outcome = 'adopted'"), ["image_id", "request_id"]).select(
-        "image_id", F.col("assigned_instance_id").alias("inst_id"), "y", "x0", "x1")
+    early = F.when(F.col("type_label") != "satellites", "unsupported_type").when(F.coalesce("_dup", F.lit(False)), "duplicate").when(F.col("_max") >= id_limit, "id_overflow")
+    base = cut(base.withColumn("_why", early).select(*key, *source, "_max", "_why"))
+    asked = base.where("_why is null")
+    ask = request_runs.join(asked.select(*key), key, "left_semi").withColumn("inst_id", F.col("request_id"))
+    free = cut(difference_runs(ask, union_runs(state)).select("image_id", "inst_id", "y", "x0", "x1"))
+    shared = pair_intersections(free, free, "_a", "_b").where("_a < _b").select("image_id", "_a", "_b")
+    one, two = asked.select("image_id", F.col("request_id").alias("_a"), *source), asked.select("image_id", F.col("request_id").alias("_b"), *source)
+    same = one.join(two, ["image_id", *source]).where("_a < _b").select("image_id", "_a", "_b", F.lit(True).alias("_same"))
+    waits = cut(shared.withColumn("_same", F.lit(False)).union(same).groupBy("image_id", "_a", "_b").agg(F.max("_same").alias("_same")))
+    settled, todo = None, asked.select(*key)
+    while not todo.isEmpty():
+        held = waits.join(todo.select("image_id", F.col("request_id").alias("_a")), ["image_id", "_a"], "left_semi")
+        ready = todo.join(held.select("image_id", F.col("_b").alias("request_id")), key, "left_anti")
+        left = free.join(ready.select("image_id", F.col("request_id").alias("inst_id")), ["image_id", "inst_id"], "left_semi")
+        again = ready.where("false").withColumn("_again", F.lit(True))
+        if settled is not None:
+            won = settled.where("_verdict = 'adopted'")
+            taken = free.join(won.select("image_id", F.col("request_id").alias("inst_id")), ["image_id", "inst_id"], "left_semi")
+            left = difference_runs(left, union_runs(taken)).select("image_id", "inst_id", "y", "x0", "x1")
+            before = waits.where("_same").join(won.select("image_id", F.col("request_id").alias("_a")), ["image_id", "_a"], "left_semi")
+            again = before.select("image_id", F.col("_b").alias("request_id")).distinct().withColumn("_again", F.lit(True))
+        size = areas(left).select("image_id", F.col("inst_id").alias("request_id"), F.col("area").alias("_area"))
+        area = F.coalesce("_area", F.lit(0))
+        verdict = F.when(F.col("_again"), "duplicate").when(area == 0, "empty_crop").when(area < min_area, "area_too_small").otherwise("adopted")
+        now = ready.join(size, key, "left").join(again, key, "left").select(*key, verdict.alias("_verdict"), area.alias("_area"))
+        settled = cut(now if settled is None else settled.union(now))
+        todo = cut(todo.join(settled, key, "left_anti"))
+    if settled is None:
+        settled = asked.select(*key, F.lit(None).cast("string").alias("_verdict"), F.lit(0).cast("long").alias("_area"))
+    out = base.join(settled, key, "left").withColumn("outcome", F.coalesce("_why", "_verdict")).withColumn(
+        "cropped_area_px", F.when(F.col("outcome").isin("empty_crop", "area_too_small", "adopted"), F.coalesce("_area", F.lit(0)).cast("long")))
+    given = number_rows(out.where("outcome = 'adopted'").select(*key, "_max"), ["image_id"], [F.col("request_id")], "_k")
+    given = given.select(*key, (F.col("_max") + F.col("_k")).alias("assigned_instance_id"))
+    over = F.col("assigned_instance_id") > id_limit
+    out = out.join(given, key, "left").withColumn("outcome", F.when(over, "id_overflow").otherwise(F.col("outcome"))).withColumn(
+        "assigned_instance_id", F.when(~over, F.col("assigned_instance_id")))
+    verdicts = out.select(*key, "outcome", "assigned_instance_id", "cropped_area_px")
+    won = verdicts.where("outcome = 'adopted'").select("image_id", F.col("request_id").alias("inst_id"), "assigned_instance_id")
+    new = cut_in_order(free.join(won, ["image_id", "inst_id"])).withColumn("inst_id", F.col("assigned_instance_id")).select("image_id", "inst_id", "y", "x0", "x1")
     return verdicts, new
 
 
+def cut_in_order(runs: DataFrame) -> DataFrame:
+    """Runs of adopted requests, earlier requests keeping the pixels that several share."""
+    from maskwright.operators.runs import paint
+
+    ids = runs.select("image_id", "inst_id", "assigned_instance_id").distinct()
+    return paint(runs.select("image_id", "inst_id", "y", "x0", "x1"), -F.col("inst_id")).join(ids, ["image_id", "inst_id"])
+
+
 def log_entries(verdicts: DataFrame, operation: str, id_column: str) -> DataFrame:
     """Prepared and committed log rows of the requests that went through."""
     kind = {"assigned_instance_id": F.lit(None).cast("long"), "deleted_instance_id": F.lit(None).cast("long")}
@@ -478,21 +516,28 @@ def override_summary(outcomes: DataFrame, dry_run: bool = False) -> DataFrame:
 # -- spot checks -----------------------------------------------------------------------------------------
 
 
+SIGNALS = ("best_iou", "area_ratio", "boundary_f1", "confidence_score")
+
+
 def spot_check_mv(labels: DataFrame, accept_iou: float = 0.7, confidence: float = 0.5) -> DataFrame:
     """Per label: count, signal figures, broken accepts, suspicious rejects and edge cases."""
     s = F.col("signals")
     iou = s["best_iou"]
     accept, reject = F.col("decision_label") == "accept", F.col("decision_label") == "reject"
     aggs = [F.count(F.lit(1)).alias("n")]
-    for k in ("best_iou", "area_ratio", "boundary_f1", "confidence_score"):
-        aggs += [F.min(s[k]).alias(f"{k}_min"), F.max(s[k]).alias(f"{k}_max"), F.avg(s[k]).alias(f"{k}_mean"), F.median(s[k]).alias(f"{k}_median")]
+    for k in SIGNALS:
+        aggs += [F.min(s[k]).alias(f"{k}_min"), F.max(s[k]).alias(f"{k}_max"), F.avg(s[k]).alias(f"{k}_mean")]
     t = float(accept_iou)
     aggs += [
         F.count_if(accept & ((iou < t) | F.coalesce(s["confidence_score"] < confidence, F.lit(False)))).alias("bad_accept"),
         F.count_if(reject & (iou > t) & s["area_ratio"].between(0.5, 2.0) & (s["filter_status"] == "kept")).alias("suspect_reject"),
         F.count_if(accept & (iou >= t) & (iou < t + 0.05)).alias("edge_accept"),
         F.count_if(~accept & (iou >= t - 0.05) & (iou < t)).alias("edge_other")]
-    return labels.groupBy("decision_label").agg(*aggs)
+    out = labels.groupBy("decision_label").agg(*aggs)
+    signals = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), s[k].cast("double").alias("value")) for k in SIGNALS]))
+    medians = exact_quantiles(labels.select("decision_label", signals.alias("e")).select("decision_label", "e.*"), ["decision_label", "signal"], "value", {"median": 0.5})
+    wide = medians.groupBy(F.col("decision_label").alias("_label")).agg(*[F.max(F.when(F.col("signal") == k, F.col("median"))).alias(f"{k}_median") for k in SIGNALS])
+    return out.join(wide, F.col("decision_label").eqNullSafe(F.col("_label")), "left").drop("_label")
 
 
 def spot_check_ev(variants: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from maskwright.functions.policies import MATCHED, TAXONOMY, UNMATCHED
 from maskwright.operators.numbering import running_sums
 from maskwright.operators.runs import areas, boundary_inner, intersect_area, union_runs
 from maskwright.session import cut
+from maskwright.operators.quantiles import with_quantiles
 
 FEATURES = ("purity", "completeness", "seed_gt_ratio", "annulus_excess", "radial_monotonicity")
 
@@ -221,15 +222,15 @@ def diagnostics_features(candidates: DataFrame, features: Sequence[str] = FEATUR
         f"stack({len(features)}, " + ", ".join(f"'{f}', cast({f} as double)" for f in features) + ") as (feature, value)"
     )).where("value is not null")
     agg = long.groupBy("taxonomy_label", "feature").agg(
-        F.count(F.lit(1)).alias("n"), F.min("value").alias("v_min"),
-        F.expr("percentile(value, array(0.25D, 0.5D, 0.75D))").alias("_q"), F.max("value").alias("v_max"),
+        F.count(F.lit(1)).alias("n"), F.min("value").alias("v_min"), F.max("value").alias("v_max"),
     )
+    agg = with_quantiles(agg, long, ["taxonomy_label", "feature"], "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
     frame = candidates.sparkSession.range(1).select(
         F.explode(F.array(*[F.lit(x) for x in TAXONOMY])).alias("taxonomy_label")
     ).withColumn("feature", F.explode(F.array(*[F.lit(x) for x in features])))
     return frame.join(agg, ["taxonomy_label", "feature"], "left").select(
         "taxonomy_label", "feature", F.coalesce("n", F.lit(0)).alias("n"), "v_min",
-        F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("p75"), "v_max",
+        "p25", "median", "p75", "v_max",
     )
 
 

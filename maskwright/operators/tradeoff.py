@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from maskwright.functions.policies import MATCHED, TAXONOMY, UNMATCHED
+from maskwright.operators.quantiles import exact_quantiles, with_quantiles
 
 IDENTITY = ["image_id", "raw_index", "candidate_id"]
 # Figures summarised for removed and kept candidates.
@@ -178,10 +179,11 @@ def numeric_stats(rows: DataFrame, fields: Sequence[str], by: Sequence[str] = ()
     """valid, omitted, mean, median, population deviation, min and max of each field, one row each."""
     stack = ", ".join(f"'{f}', cast({f} as double)" for f in fields)
     long = rows.select(*by, F.expr(f"stack({len(fields)}, {stack}) as (field, value)"))
-    return long.groupBy(*by, "field").agg(
+    out = long.groupBy(*by, "field").agg(
         F.count("value").alias("valid"), (F.count(F.lit(1)) - F.count("value")).alias("omitted"),
-        F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_pop("value").alias("std"),
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
+    return with_quantiles(out, long, [*by, "field"], "value", {"median": 0.5})
 
 
 def count_by_key(rows: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -273,11 +275,10 @@ def mask_stats_summary(stats: DataFrame, metrics: Sequence[str] = SHAPE_METRICS)
     long = long.withColumn("sb_threshold", F.explode(F.array("sb_threshold", F.lit(None).cast("double"))))
     # Counted values first: quantiles then work on (value, frequency).
     hist = long.where("value is not null").groupBy("feature_type", "sb_threshold", "metric", "value").agg(F.count(F.lit(1)).alias("n"))
-    qs = ", ".join(f"{q}D" for q in QUANTILES)
-    return hist.groupBy("feature_type", "sb_threshold", "metric").agg(
-        F.sum("n").alias("n"), F.expr(f"percentile(value, array({qs}), n)").alias("q")
-    ).select("feature_type", "sb_threshold", "metric", "n",
-             *[F.round(F.col("q")[i], 4).alias(f"p{int(round(q * 100)):02d}") for i, q in enumerate(QUANTILES)])
+    names = {f"p{int(round(q * 100)):02d}": q for q in QUANTILES}
+    keys = ["feature_type", "sb_threshold", "metric"]
+    out = with_quantiles(hist.groupBy(*keys).agg(F.sum("n").alias("n")), hist, keys, "value", names, weight="n")
+    return out.select(*keys, "n", *[F.round(c, 4).alias(c) for c in names])
 
 
 def filter_recommendations(summary: DataFrame) -> DataFrame:
@@ -300,4 +301,11 @@ def metric_trends(stats: DataFrame, metrics: Sequence[str]) -> DataFrame:
     for c in ("aspect_sym_boundary", "aspect_sym_moment", "aspect_sym"):
         if c in stats.columns:
             stats = stats.withColumn(c, F.when(F.col(c) <= 100, F.col(c)))
-    return stats.groupBy("feature_type", "sb_threshold").agg(*[F.median(m).alias(m) for m in metrics])
+    keys = ["feature_type", "sb_threshold"]
+    stack = ", ".join(f"'{m}', cast({m} as double)" for m in metrics)
+    long = stats.select(*keys, F.expr(f"stack({len(metrics)}, {stack}) as (metric, value)"))
+    q = exact_quantiles(long, [*keys, "metric"], "value", {"median": 0.5})
+    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m) for m in metrics])
+    every = stats.select(*keys).distinct().withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [every[f"_{k}"].eqNullSafe(wide[k]) for k in keys]
+    return every.join(wide, same, "left").select(*[F.col(f"_{k}").alias(k) for k in keys], *metrics)

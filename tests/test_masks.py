@@ -190,25 +190,18 @@ def test_optimal_pairs_exact(spark):
             if rng.random() < 0.6:
                 rows.append((image, p, g, float(rng.random())))
     pairs = spark.createDataFrame(rows, "image_id long, pred_id long, gt_id long, iou double").cache()
-    for limit in (match.SMALL_IMAGE, 3):
-        keep, match.SMALL_IMAGE = match.SMALL_IMAGE, limit
-        match.solve_groups.__defaults__ = (limit,)
-        try:
-            chosen = match.optimal_pairs(pairs).collect()
-        finally:
-            match.SMALL_IMAGE = keep
-            match.solve_groups.__defaults__ = (keep,)
-        total = {}
-        for r in chosen:
-            total[r.image_id] = total.get(r.image_id, 0) + r.iou
-        assert len({(r.image_id, r.pred_id) for r in chosen}) == len(chosen) == len({(r.image_id, r.gt_id) for r in chosen})
-        for image in range(40):
-            w = np.zeros((5, 5))
-            for i, p, g, v in rows:
-                if i == image:
-                    w[g, p] = v
-            best = max(sum(w[g, q[g]] for g in range(5)) for q in itertools.permutations(range(5)))
-            assert total.get(image, 0) == pytest.approx(best)
+    chosen = match.optimal_pairs(pairs).collect()
+    total = {}
+    for r in chosen:
+        total[r.image_id] = total.get(r.image_id, 0) + r.iou
+    assert len({(r.image_id, r.pred_id) for r in chosen}) == len(chosen) == len({(r.image_id, r.gt_id) for r in chosen})
+    for image in range(40):
+        w = np.zeros((5, 5))
+        for i, p, g, v in rows:
+            if i == image:
+                w[g, p] = v
+        best = max(sum(w[g, q[g]] for g in range(5)) for q in itertools.permutations(range(5)))
+        assert total.get(image, 0) == pytest.approx(best)
 
 
 def test_components(spark):

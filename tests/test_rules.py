@@ -129,3 +129,52 @@ def test_rasters(spark, tmp_path):
     np.save(tmp_path / "l.npy", label)
     got = {tuple(r)[1:] for r in S.read_instance_maps(spark, str(tmp_path / "l.npy")).collect()}
     assert got == {(1, 0, 1, 3), (2, 0, 3, 4), (2, 1, 0, 2), (1, 1, 3, 4)}
+
+
+def test_adopt_in_request_order(spark):
+    """Runs 0-10, 5-13, 10-17 with at least 5 pixels: the second is too small after the first and takes
+    nothing from the third. The same source twice: the second is a duplicate."""
+    from maskwright.operators import review as V
+
+    source = "source_prediction_path string, source_candidate_id string, source_candidate_rle_sha1 string"
+    requests = spark.createDataFrame(
+        [(1, k, "satellites", f"p{k}", f"c{k}", f"h{k}") for k in (1, 2, 3)]
+        + [(2, 1, "satellites", "p", "c", "h"), (2, 2, "satellites", "p", "c", "h"), (2, 3, "streams", "p", "c", "i"), (2, 4, "satellites", "p", "c", "k")],
+        "image_id long, request_id long, type_label string, " + source)
+    runs = spark.createDataFrame(
+        [(1, 1, 0, 0, 10), (1, 2, 0, 5, 13), (1, 3, 0, 10, 17), (2, 1, 0, 0, 9), (2, 2, 5, 0, 9), (2, 3, 7, 0, 9), (2, 4, 0, 2, 9)],
+        "image_id long, request_id long, y int, x0 int, x1 int")
+    instances = spark.createDataFrame([], "image_id long, inst_id long, type_label string, " + source)
+    state = spark.createDataFrame([], "image_id long, inst_id long, y int, x0 int, x1 int")
+    log = spark.createDataFrame([], "image_id long, status string, assigned_instance_id long, deleted_instance_id long")
+    verdicts, new = V.adopt(requests, instances, state, runs, log, min_area=5)
+    got = {(r.image_id, r.request_id): (r.outcome, r.assigned_instance_id, r.cropped_area_px) for r in verdicts.collect()}
+    assert got == {(1, 1): ("adopted", 1, 10), (1, 2): ("area_too_small", None, 3), (1, 3): ("adopted", 2, 7),
+                   (2, 1): ("adopted", 1, 9), (2, 2): ("duplicate", None, None), (2, 3): ("unsupported_type", None, None), (2, 4): ("empty_crop", None, 0)}
+    assert sorted((r.image_id, r.inst_id, r.x0, r.x1) for r in new.collect()) == [(1, 1, 0, 10), (1, 2, 10, 17), (2, 1, 0, 9)]
+    over = {(r.image_id, r.request_id): r.outcome for r in V.adopt(requests, instances, state, runs, log, min_area=5, id_limit=1)[0].collect()}
+    assert over[1, 1] == "adopted" and over[1, 3] == "id_overflow"
+
+
+def test_late_image_line_is_stale_before_all_else(spark):
+    from maskwright.operators import review as V
+
+    rows = [(1, 1, "satellite_mv", None, "authoritative", 5, True), (1, 2, "stream_ev", "drop_top1", "authoritative", 5, True)]
+    lines = spark.createDataFrame(rows, "sample_id long, line_no long, task_family string, variant_id string, candidate_source string, inst_id long, is_current boolean")
+    assert {r.line_no: r.refusal for r in V.import_outcomes(lines).collect()} == {1: None, 2: "stale_revision"}
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    from maskwright.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(v), int(w)) for g, n in (("a", 1), ("b", 2), ("c", 500), (None, 37)) for v, w in zip(rng.integers(0, 60, n) / 7, rng.integers(1, 4, n))]
+    df = spark.createDataFrame([*rows, ("d", None, 1)], "g string, v double, w int")
+    for weight in (None, "w"):
+        got = {r.g: (r.lo, r.mid, r.hi) for r in exact_quantiles(df, ["g"], "v", {"lo": 0.05, "mid": 0.5, "hi": 0.99}, weight).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g, q in got.items():
+            values = [v for h, v, w in rows for _ in range(w if weight else 1) if h == g]
+            assert np.allclose(q, np.quantile(values, [0.05, 0.5, 0.99]))
