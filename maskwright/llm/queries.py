@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from maskwright.llm import language, lm, minhash, mixing, packing, quality, secrets, topk, toxicity, vectors
-from maskwright.llm.common import fold
+from maskwright.llm.common import fold, sent_if_small
+from maskwright.session import cut
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +64,8 @@ def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents drawn towards those labelled as good, learned from labels that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    good = labels.where((F.col("quality") == 1) & (fold("doc_id", 5) != 0)).select("doc_id").distinct()
-    out = quality.resample(docs, quality.fit(docs.join(good, "doc_id", "left_semi"), docs))
+    good = cut(labels.where((F.col("quality") == 1) & (fold("doc_id", 5) != 0)).select("doc_id").distinct())
+    out = quality.resample(docs, quality.fit(docs.join(sent_if_small(good), "doc_id", "left_semi"), docs))
     return out.withColumn("held_out", fold("doc_id", 5) == 0)
 
 
