@@ -1,4 +1,4 @@
-"""Named queries: renderings, noise and image evidence. Pixels follow from the image ids of the tables."""
+"""Named queries: renderings, noise and image evidence. Pixels are those of the masks."""
 
 from pyspark.sql import functions as F
 
@@ -7,20 +7,36 @@ from maskwright.functions import photometry as P
 from maskwright.operators import imaging as I
 from maskwright.plans.fixtures import SIDE
 
-N = 16
+# Every pixel of the ground truth masks; its value follows from its place and the first mask on it.
+_K = "(x * 7 + y * 13 + stamp)"
 PX = {"px": f"""
-    SELECT image_id, y, x, CASE WHEN (x * 7 + y * 13 + image_id) % 97 = 0 THEN NULL ELSE 20 + ((x * 7 + y * 13 + image_id) % 150) / 10.0::DOUBLE END AS raw,
-           CASE WHEN (x * 7 + y * 13 + image_id) % 97 = 0 THEN 35.0::DOUBLE ELSE 20 + ((x * 7 + y * 13 + image_id) % 150) / 10.0::DOUBLE END AS mag
-    FROM images, (SELECT unnest(range({N})) AS y), (SELECT unnest(range({N})) AS x)""",
+    SELECT image_id, y, x, stamp, CASE WHEN {_K} % 97 = 0 THEN NULL ELSE 20 + ({_K} % 150) / 10.0::DOUBLE END AS raw,
+           CASE WHEN {_K} % 97 = 0 THEN 35.0::DOUBLE ELSE 20 + ({_K} % 150) / 10.0::DOUBLE END AS mag
+    FROM (SELECT image_id, y, x, min(inst_id) AS stamp FROM gt_px GROUP BY ALL)""",
       "fx": "SELECT *, pow(10, (22.5 - mag) / 2.5) AS flux FROM px",
       "vm": "SELECT image_id, quantile_cont(flux, 0.995) AS vmax FROM fx GROUP BY ALL",
       "st": "SELECT fx.*, vmax, asinh(flux / (vmax + 1e-10) * 300) / asinh(300::DOUBLE) AS g FROM fx JOIN vm USING (image_id)"}
 
 
 def pixels(t):
-    k = "(x * 7 + y * 13 + image_id)"
-    grid = t.images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(N - 1))).alias("x"))
-    return grid.withColumn("mag", F.expr(f"case when {k} % 97 = 0 then double('NaN') else 20 + ({k} % 150) / double(10) end"))
+    px = t.gt_runs.select("image_id", "inst_id", "y", F.explode(F.expr("sequence(x0, x1 - 1)")).alias("x"))
+    px = px.groupBy("image_id", "y", "x").agg(F.min("inst_id").alias("stamp"))
+    return px.withColumn("mag", F.expr(f"case when {_K} % 97 = 0 then double('NaN') else 20 + ({_K} % 150) / double(10) end"))
+
+
+def frames(t, n):
+    """Whole square frames of ``n`` pixels a side, for the resize."""
+    grid = t.images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("y")).select("image_id", "y", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("x"))
+    return grid.withColumn("mag", F.expr("20 + ((x * 7 + y * 13 + image_id) % 150) / double(10)"))
+
+
+def per_row(df, value, scale=1):
+    """Pixels and sum of a figure, in whole parts of 1 / ``scale``, of each row of an image."""
+    return df.groupBy("image_id", "y").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col(value) * scale).cast("long")).alias("total"))
+
+
+def _rows(value, table, scale=1):
+    return f"SELECT image_id, y, count(*) AS n, sum(round({value} * {scale})::BIGINT)::BIGINT AS total FROM {table} GROUP BY ALL"
 
 
 def cleaned(t):
@@ -39,14 +55,14 @@ def _(t):
     return p.groupBy("image_id").agg(F.count_if(F.isnan("mag")).alias("n_bad"), F.max("c").alias("faintest"))
 
 
-@query("x3_asinh_stretch", "SELECT image_id, y::INTEGER AS y, x::INTEGER AS x, round(g, 6) AS value FROM st", ctes=PX)
+@query("x3_asinh_stretch", _rows("g", "st", 1000), ctes=PX)
 def _(t):
-    return I.asinh_render(pixels(t)).select("image_id", "y", "x", F.round("value", 6).alias("value"))
+    return per_row(I.asinh_render(pixels(t)), "value", 1000)
 
 
-@query("x4_linear_magnitude", "SELECT image_id, y::INTEGER AS y, x::INTEGER AS x, trunc((35 - mag) / 15 * 255)::INTEGER AS level FROM px", ctes=PX)
+@query("x4_linear_magnitude", _rows("trunc((35 - mag) / 15 * 255)", "px"), ctes=PX)
 def _(t):
-    return I.linear_render(pixels(t)).select("image_id", "y", "x", "level")
+    return per_row(I.linear_render(pixels(t)), "level")
 
 
 @query("x5_multi_exposure", """
@@ -65,25 +81,13 @@ def _(t):
 
 @query("x6_resize_bicubic")
 def _(t):
-    return I.resize_bicubic(I.asinh_render(pixels(t)), N, 7).withColumn("value", F.round("value", 9))
-
-
-@query("x7_counts_to_sb", """
-    SELECT image_id, y::INTEGER AS y, x::INTEGER AS x, CASE WHEN c > 0 THEN round(-2.5 * log10(c) + 30 - 2.5 * log10(0.187 * 0.187), 6) ELSE 35 END AS sb
-    FROM (SELECT *, ((x * 7 + y * 13 + image_id) % 150 - 5)::DOUBLE AS c FROM px)""", ctes=PX)
-def _(t):
-    c = pixels(t).withColumn("c", F.expr("cast((x * 7 + y * 13 + image_id) % 150 - 5 as double)"))
-    return c.select("image_id", "y", "x", F.round(P.counts_to_sb(F.col("c"), 30.0, 0.187), 6).alias("sb"))
+    return I.resize_bicubic(I.asinh_render(frames(t, 16)), 16, 7).withColumn("value", F.round("value", 9))
 
 
-@query("x8_forward_noise")
+@query("x7_counts_to_sb", _rows("CASE WHEN c > 0 THEN -2.5 * log10(c) + 30 - 2.5 * log10(0.187 * 0.187) ELSE 35 END", f"(SELECT *, ({_K} % 150 - 5)::DOUBLE AS c FROM px)", 1000), ctes=PX)
 def _(t):
-    return I.forward_noise(cleaned(t), 42).select("image_id", "y", "x", "mag_noisy")
-
-
-@query("x9_sb_limit_noise")
-def _(t):
-    return I.sb_limit_noise(cleaned(t), 42, 31.5, 0.2, 0.04).select("image_id", "y", "x", "mag_noisy")
+    c = pixels(t).withColumn("c", F.expr(f"cast({_K} % 150 - 5 as double)"))
+    return per_row(c.withColumn("sb", P.counts_to_sb(F.col("c"), 30.0, 0.187)), "sb", 1000)
 
 
 _SNR = {**PX, "q": "SELECT image_id, quantile_cont(flux, 0.9) AS hi, quantile_cont(flux, 0.2) AS lo FROM fx GROUP BY ALL",
@@ -96,21 +100,11 @@ def _(t):
     return I.expected_snr(cleaned(t)).select("image_id", F.round("expected_sig", 4).alias("expected_sig"), F.round("expected_noise", 6).alias("expected_noise"), F.round("snr", 4).alias("snr"))
 
 
-@query("x12_validate_physics")
-def _(t):
-    return I.validate_physics(cleaned(t), 42)
-
-
 @query("x13_scale_for_snr")
 def _(t):
     return I.scale_for_snr(cleaned(t), 50.0)
 
 
-@query("x14_noise_batch")
-def _(t):
-    return I.noise_batch(cleaned(t), [("snr20", 20.0), ("snr50", 50.0)], 42)
-
-
 @query("x15_render_batch", """
     SELECT 'linear_magnitude' AS variant, count(*) AS n, sum(trunc((35 - mag) / 15 * 255))::BIGINT AS r FROM px UNION ALL
     SELECT 'multi_exposure', count(*), sum(trunc((35 - mag) / 15 * 255))::BIGINT FROM px""", ctes=PX)
