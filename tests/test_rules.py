@@ -178,3 +178,19 @@ def test_exact_quantiles(spark):
         for g, q in got.items():
             values = [v for h, v, w in rows for _ in range(w if weight else 1) if h == g]
             assert np.allclose(q, np.quantile(values, [0.05, 0.5, 0.99]))
+
+
+def test_reserved_max_on_a_growing_log(spark, tmp_path):
+    """The fold on a file stream, one file a batch, ends where the fold of all entries ends."""
+    from maskwright.streaming.audit import reserved_max
+
+    entries = [(i % 5, ("prepared", "committed", "failed")[i % 3], 10 + i if i % 2 else None, None if i % 2 else 200 - i) for i in range(60)]
+    kind = "image_id long, status string, assigned_instance_id long, deleted_instance_id long"
+    folder = str(tmp_path / "log")
+    for at in range(0, 60, 20):
+        spark.createDataFrame(entries[at:at + 20], kind).coalesce(1).write.mode("append").parquet(folder)
+    stream = reserved_max(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("reserved_now").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination(120)
+    want = {tuple(r) for r in reserved_max(spark.createDataFrame(entries, kind)).collect()}
+    assert {tuple(r) for r in spark.table("reserved_now").collect()} == want and want
