@@ -17,7 +17,9 @@ U64 = np.uint64
 #: A word is a run of other characters than these (space and the control characters 9 to 13).
 BLANKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+#: Most rows and bytes of an Arrow batch of texts.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def as_text(name: str = "text") -> Column:
@@ -25,6 +27,17 @@ def as_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded for texts: rows of up to 64 MB would wait in the
+    JVM and again in Python. Smaller settings stay. The setting counts when a plan runs, so it is left on.
+    """
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of a column's text modulo ``parts``; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(parts)

@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import lower_ascii, text_bytes, text_slices, unit_draw
+from maskwright.llm.common import in_small_batches, lower_ascii, text_bytes, text_slices, unit_draw
 
 SLOTS = 8192
 CENTROIDS = 4
@@ -140,7 +140,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CE
     """Fit on rows with text and language. The idf covers all of them; the centroids of a language
     are clustered on about ``sample`` of its rows, drawn by a hash. Rows without letters teach nothing.
     """
-    rows = labelled.select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{lang}`").cast("string").alias("__lang"))
+    rows = in_small_batches(labelled).select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{lang}`").cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}"))
     sizes = rows.groupBy("__lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Centroids, text: str = "text") -> DataFrame:
     Without any learned language all rows are ``und``.
     """
     letters = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False))
-    source = docs.withColumns({"__input": F.col(f"`{text}`").cast("string"), "__letters": letters})
+    source = in_small_batches(docs).withColumns({"__input": F.col(f"`{text}`").cast("string"), "__letters": letters})
     names_in = docs.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

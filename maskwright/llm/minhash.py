@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from maskwright.llm.common import (
-    U64, list_array, lower_ascii, mix, packed, ranges, sent_if_small, signed, span_hashes, text_bytes, text_slices, unpacked, word_bounds,
+    U64, in_small_batches, list_array, lower_ascii, mix, packed, ranges, sent_if_small, signed, span_hashes, text_bytes, text_slices, unpacked, word_bounds,
 )
 from maskwright.operators.match import connected_components
 from maskwright.session import cut
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
     linked with nothing either: ``component_id`` is null and they are kept. Rows that repeat an id
     are one document whose links are those of all its texts.
     """
-    docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = in_small_batches(docs).select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = cut(sketches(docs))
     some = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = cut(some.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))

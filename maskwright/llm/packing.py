@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import U64, HashIndex, ranges, span_hashes, text_bytes, text_slices
+from maskwright.llm.common import U64, HashIndex, in_small_batches, ranges, span_hashes, text_bytes, text_slices
 
 LENGTH = 1024
 END_ID = 2
@@ -26,7 +26,7 @@ def default_tokenizer() -> str:
 
 
 class StretchTokenizer:
-    """Token ids of whole texts; every distinct stretch of text is tokenized once per worker.
+    """Token ids of whole texts; every distinct stretch of text is tokenized once per task.
 
     Texts are cut before a space and around a line break that stand alone between two characters that
     are no white space, and before a mark that follows a letter. The tokenizer's own pattern always
@@ -114,16 +114,6 @@ class StretchTokenizer:
         return ids, np.append(0, np.cumsum(sizes))[np.searchsorted(starts, bounds)]
 
 
-_TOKENIZERS: dict[str, StretchTokenizer] = {}
-
-
-def tokenizer_at(path: str) -> StretchTokenizer:
-    """One per Python worker; workers serve many tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = StretchTokenizer(path)
-    return _TOKENIZERS[path]
-
-
 class BestFit:
     """At most ``limit`` open bins; bit f of ``levels`` is set while some open bin has f places left."""
 
@@ -172,10 +162,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", tex
     """
     path = tokenizer or default_tokenizer()
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
+    source = in_small_batches(docs).select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer_at(path)
+        coder = StretchTokenizer(path)  # its memory ends with the task
         bins = BestFit(length, open_bins, TaskContext.get().partitionId() << 32)
         for batch in batches:
             for part in text_slices(batch, "__text"):

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import U64, lower_ascii, mix, span_hashes, text_bytes, text_slices, unit_draw, word_bounds
+from maskwright.llm.common import U64, in_small_batches, lower_ascii, mix, span_hashes, text_bytes, text_slices, unit_draw, word_bounds
 from maskwright.operators.numbering import number_rows
 from maskwright.session import cut
 
@@ -53,7 +53,7 @@ def _counts(texts: DataFrame) -> DataFrame:
 def fit(target: DataFrame, raw: DataFrame, text: str = "text") -> Ratio:
     """Bucket models of all texts of ``target`` and of ``raw``, add-one smoothed. Null texts count as empty."""
     logs = []
-    for texts in (target, raw):
+    for texts in (in_small_batches(target), raw):
         n = np.ones(BUCKETS)
         for bucket, count in _counts(texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))).collect():
             n[bucket] += count  # BUCKETS rows at most
@@ -64,7 +64,7 @@ def fit(target: DataFrame, raw: DataFrame, text: str = "text") -> Ratio:
 def weigh(docs: DataFrame, ratio: Ratio, text: str = "text") -> DataFrame:
     """Add ``__log_weight``: the mean log ratio over the n-grams of the text, 0 for texts without words."""
     names = docs.columns
-    source = docs.withColumn("__input", F.col(f"`{text}`").cast("string"))
+    source = in_small_batches(docs).withColumn("__input", F.col(f"`{text}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import packed
+from maskwright.llm.common import in_small_batches, packed
 
 #: Patterns of the base kinds, in the order that breaks ties of start (fixed values of the contract).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text", redact: bool = False, mark: str =
     apart from the results by a prefix of two underscores: ``__n_assign`` and so on.
     """
     others = [c for c in docs.columns if c != text]
-    source = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__scan"))
+    source = in_small_batches(docs).select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias("__scan"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__scan"]
                        + [f"__{n} {'string' if t == pa.string() else 'bigint'}" for n, t in RESULT] + ["__text string"] * redact)
 

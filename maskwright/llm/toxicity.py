@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from maskwright.llm.common import U64, HashIndex, lower_ascii, signed, span_hashes, text_bytes, text_slices, unit_draw
+from maskwright.llm.common import U64, HashIndex, in_small_batches, lower_ascii, signed, span_hashes, text_bytes, text_slices, unit_draw
 
 #: Bounds of the training sample (expected numbers of texts) and of its features.
 POSITIVES, UNLABELLED = 4000, 16_000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     prior = min(max(n_pos / n_all, 1e-4), 0.9)
     toxic = labels.where("y = 1").select("id").distinct().where(unit_draw(23, "id") < POSITIVES / n_pos)
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
+    rows = in_small_batches(docs).select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).where(F.col("text").isNotNull())
     n_docs = rows.count()
     drawn = unit_draw(29, "id", "text")
     # About POSITIVES ids, a documented bound: every task can hold them, and no text is shuffled for the join.
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     if model is None:
         return docs.withColumn("__score", F.lit(0.0))
     names = docs.columns
-    source = docs.withColumn("__input", F.col(f"`{text}`").cast("string"))
+    source = in_small_batches(docs).withColumn("__input", F.col(f"`{text}`").cast("string"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,7 +160,7 @@ def test_stretches_equal_plain_tokens():
     rng = random.Random(5)
     parts = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "×", "'s", "don't", ".", ",", "!", "1", "　", " ", "日本", "\x1c", "\x85", "<|endoftext|>", "\r\n", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)] + [None, ""]
-    ids, bounds = packing.tokenizer_at(packing.default_tokenizer()).encode(pa.array(texts, pa.string()))
+    ids, bounds = packing.StretchTokenizer(packing.default_tokenizer()).encode(pa.array(texts, pa.string()))
     for k, e in enumerate(coder.encode_batch([t or "" for t in texts], add_special_tokens=False)):
         assert ids[bounds[k] : bounds[k + 1]].tolist() == e.ids
 
