@@ -5,7 +5,9 @@ copies is one node. Each set is hashed once: the hash range is cut into bins, a
 hash, and an empty bin borrows from the filled bin of smallest priority in its own random order.
 Bands of bins are bucket keys. A bucket sends out edges from one centre to its members only; every
 edge is confirmed on the full sets. Buckets whose members still lie in several components get more
-centres (the most shared members first, then drawn ones) until a round confirms no further link.
+centres (the most shared members first, then drawn ones) until a round confirms no further link. What
+is left in buckets of more members is then compared exactly: every pair of two components in one bucket,
+block by block.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ PART, SHARE = 100, 75
 CENTRES = 4
 #: Members of one centre that are compared in one run of rows.
 RUN = 256
+#: Shingles of a block of members (about), and the sets and columns of a block that are multiplied at once.
+BLOCK, TILE, COLUMNS = 1 << 20, 256, 8192
 
 _TURN = mix(np.arange(1, 65, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
@@ -149,12 +153,130 @@ def linked(a: np.ndarray, b: np.ndarray, part: int = PART, share: int = SHARE) -
     return part * inter >= share * (len(a) + len(b) - inter)
 
 
-def _more_edges(buckets: DataFrame, components: DataFrame, tested: DataFrame, nth: int) -> DataFrame:
-    """Edges from up to ``CENTRES`` centres of each unsettled bucket to its members in other components."""
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``left`` shares with each of ``right``."""
+    values, times = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    values = values[times > 1]  # sets are distinct, so what stands once is shared by none
+    sides = []
+    for sets in (left, right):
+        h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(values, h)
+        hit = np.flatnonzero(at < len(values))
+        hit = hit[values[at[hit]] == h[hit]]
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[order], of[order], len(sets)))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, len(values), COLUMNS):
+        dense = []
+        for at, of, n in sides:
+            some = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+            m = np.zeros((n, min(COLUMNS, len(values) - low)), np.float32)
+            m[of[some], at[some] - low] = 1
+            dense.append(m)
+        out += (dense[0] @ dense[1].T).astype(np.int64)
+    return out
+
+
+def joining_links(left: list[tuple], right: list[tuple] | None, part: int = PART, share: int = SHARE) -> list[tuple[int, int]]:
+    """Links between members ``(id, label, set)`` of ``left`` and ``right`` (null: of ``left`` among themselves) that
+    lie in different components; of links that join the same components one is enough."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
+    out = []
+    left = sorted((m for m in left if len(m[2])), key=lambda m: len(m[2]))
+    alone = right is None
+    right = left if alone else sorted((m for m in right if len(m[2])), key=lambda m: len(m[2]))
+    for i in range(0, len(left), TILE):
+        a = left[i : i + TILE]
+        n_a = np.array([len(m[2]) for m in a])[:, None]
+        for j in range(i if alone else 0, len(right), TILE):
+            b = right[j : j + TILE]
+            n_b = np.array([len(m[2]) for m in b])[None]
+            roots = [np.array([root(m[1]) for m in side]) for side in (a, b)]
+            may = (part * np.minimum(n_a, n_b) >= share * np.maximum(n_a, n_b)) & (roots[0][:, None] != roots[1][None])
+            if not may.any():
+                continue
+            inter = shared_counts([m[2] for m in a], [m[2] for m in b])
+            for x, y in zip(*np.nonzero(may & (part * inter >= share * (n_a + n_b - inter))), strict=True):
+                u, v = root(a[x][1]), root(b[y][1])
+                if u != v:
+                    above[max(u, v)] = min(u, v)
+                    out.append((a[x][0], b[y][0]))
+    return out
+
+
+def settle(buckets: DataFrame, components: DataFrame, classes: DataFrame, docs: DataFrame, part: int = PART, share: int = SHARE) -> DataFrame:
+    """Links ``u, v`` between different components of every bucket the rounds of centres have left open.
+
+    Buckets of ``CENTRES`` + 1 members at most are tested in full by one round. Of the others every pair of
+    two components is compared: the members of a bucket's largest component stand on one side, all others
+    on the other side and among themselves, both dealt to blocks of about ``BLOCK`` shingles. Buckets of the
+    same members are compared once.
+    """
+    open_ = _unsettled(buckets, components).where(F.col("n") > CENTRES + 1).distinct()
+    same = open_.groupBy("key").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("print"), F.sum(F.hash("rep").cast("bigint")).alias("more"), F.first("n").alias("n"))
+    once = same.groupBy("print", "more", "n").agg(F.min("key").alias("key")).select("key")
+    sizes = classes.groupBy(F.col("rep")).agg(F.sum("n").alias("size"))
+    open_ = cut(open_.join(once, "key", "left_semi").join(sizes, "rep").select("key", "rep", "label", "size"))
+    largest = open_.groupBy("key", "label").agg(F.sum("size").alias("size")).groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("home"))
+    rest = F.col("label") != F.col("home")
+    dealt = open_.join(largest, "key")
+    runs = dealt.groupBy("key").agg(*[
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(side, F.col("size")).otherwise(0)) / F.lit(BLOCK))).cast("int").alias(name) for name, side in (("homes", ~rest), ("rests", rest))])
+    dealt = dealt.join(runs, "key").withColumn("rest", rest)
+    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("homes"))).cast("int"))
+
+    def place(i: str, j: str, among: bool, side: str) -> str:
+        return f"struct({i} AS i, {j} AS j, {among} AS among, {side} AS side)"
+
+    # The places of a member: home block against rest block, and rest block against rest block.
+    against = F.expr(f"transform(sequence(0, rests - 1), x -> {place('run', 'x', False, '0')})")
+    others = F.expr(f"concat(transform(sequence(0, homes - 1), x -> {place('x', 'run', False, '1')}),"
+                    f" transform(sequence(0, rests - 1), x -> {place('least(x, run)', 'greatest(x, run)', True, 'IF(run > x, 1, 0)')}))")
+    wanted = dealt.select("key", "label", F.col("rep").alias("doc_id"), F.explode(F.when(F.col("rest"), others).otherwise(against)).alias("p"))
+    wanted = cut(wanted.select("key", "p.among", "p.i", "p.j", "p.side", "label", "doc_id"))
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).join(sent_if_small(wanted), "doc_id")
+    names = ["key", "among", "i", "j", "side", "label", "doc_id"]
+    texts = texts.select(*names, "text").repartition(*names[:4]).sortWithinPartitions(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            links = joining_links(sides[0], None if own[1] and own[2] == own[3] else sides[1], part, share)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for rows in text_slices(batch, "text"):
+                sets = shingles(*text_bytes(rows.column("text")))
+                for own_set, (*key, side, label, doc) in zip(sets, zip(*(rows.column(c).to_pylist() for c in names), strict=True), strict=True):
+                    if key != own:
+                        if own is not None:
+                            yield done()
+                        own, sides = key, ([], [])
+                    sides[side].append((doc, label, own_set))
+        if own is not None:
+            yield done()
+
+    return texts.mapInArrow(run, "u bigint, v bigint")
+
+
+def _unsettled(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """``key, rep, label, n``: members, their components and the size of each bucket with several components."""
     labelled = buckets.join(components, buckets["rep"] == components["node"], "left")
     labelled = labelled.select("key", "rep", F.coalesce("component", "rep").alias("label"))
     spread = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = cut(labelled.join(spread.where("lo < hi"), "key").select("key", "rep", "label", "n"))
+    return labelled.join(spread.where("lo < hi"), "key").select("key", "rep", "label", "n")
+
+
+def _more_edges(buckets: DataFrame, components: DataFrame, tested: DataFrame, nth: int) -> DataFrame:
+    """Edges from up to ``CENTRES`` centres of each unsettled bucket to its members in other components."""
+    open_ = cut(_unsettled(buckets, components))
     if nth == 1:
         shared = open_.groupBy("rep").agg(F.sum("n").alias("shared"))
         ranked, order = open_.join(shared, "rep"), [F.desc("shared"), F.col("rep")]
@@ -198,6 +320,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pa
         if new is None or new.isEmpty():
             break
         links, tested = links.union(new), tested.union(edges.select(*as_pair))
+    new = cut(settle(buckets, components, classes, docs, part, share))
+    if not new.isEmpty():
+        components = cut(connected_components(links.union(new)))
     named = classes.join(components, classes["rep"] == components["node"], "left")
     named = cut(named.select("f1", "f2", "n", F.coalesce("component", "rep").alias("component_id")))
     out = rows.drop("bands").join(named, ["f1", "f2", "n"], "left")

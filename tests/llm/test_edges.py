@@ -118,6 +118,66 @@ def test_minhash_finds_weak_and_chained_links(spark):
     assert all(out[6 * g + k] == 6 * g for g in range(40) for k in range(6))
 
 
+def test_minhash_settles_families_near_the_threshold(spark):
+    # 600 texts of one template with 4 of 40 places replaced: linked only when three places agree.
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        words = [f"t{k}" for k in range(205)]
+        for at in rng.sample(range(40), 4):
+            words[5 * at + 2] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(201)} for _, t in rows]
+    parent = list(range(600))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(600):
+        for j in range(i):
+            inter = len(sets[i] & sets[j])
+            if 100 * inter >= 75 * (402 - inter):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: root(i) for i in range(600)}
+
+
+@pytest.mark.parametrize("block", [300, 1 << 20])
+def test_minhash_blocks_equal_brute_force(spark, monkeypatch, block):
+    # One bucket of a large component, small ones and single members, dealt to blocks of either size.
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TILE", 7)
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
+    base = [f"w{k}" for k in range(64)]
+    rows = []
+    for i in range(40):
+        words = list(base)
+        for k in range(0, i // 10 + i % 3):
+            words[(13 * i + 17 * k) % 64] = f"own{i % 12}y{k}"
+        rows.append((i, " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(60)} for _, t in rows]
+    label = {i: 0 if i % 10 < 3 else i for i in range(40)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    buckets = spark.createDataFrame([(1, i) for i in range(40)], "key long, rep long")
+    components = spark.createDataFrame([(i, c) for i, c in label.items()], "node long, component long")
+    classes = spark.createDataFrame([(i, len(s)) for i, s in enumerate(sets)], "rep long, n long")
+    links = {(r.u, r.v) for r in minhash.settle(buckets, components, classes, docs).collect()}
+    linked = {(i, j) for i in range(40) for j in range(40) if label[i] != label[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert links and links <= linked
+
+    def groups(pairs):
+        of = dict(label)
+        for u, v in pairs:
+            a, b = of[u], of[v]
+            of = {k: min(a, b) if c in (a, b) else c for k, c in of.items()}
+        return of
+
+    assert groups(links) == groups(linked)
+
+
 def test_language_defined_results(docs, empty):
     model = language.fit(docs)
     out = {(r.doc_id, r.text): r for r in language.predict(docs, model).collect()}
