@@ -22,30 +22,50 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class CharClass:
-    """Characters of a candidate, its least length, the window and the bits a window must reach."""
+    """Characters of a candidate, its least length, the window and the bits a window must reach.
+
+    Candidates of at least ``shortest`` characters that are shorter than the window are measured as a
+    whole, when upper and lower case and digits are mixed in them; the bits are scaled to their length.
+    """
 
     name: str
     pattern: str
     window: int
     bits: float
+    shortest: int = 0
 
 
 #: Random strings reach these bits in nearly every window; prose, identifiers and paths don't.
 CLASSES = (
     CharClass("hex", r"[0-9A-Fa-f]{32,}", 32, 3.2),
     CharClass("upper", r"[A-Z0-9]{20,}", 20, 3.6),
-    CharClass("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.0),
+    CharClass("base64", r"[A-Za-z0-9+/_=-]{16,}", 24, 4.0, 16),
 )
-#: What looks random and is no secret: serial identifiers, one word, words joined by marks, ordered runs.
+#: What looks random and is no secret: serial identifiers, one word, words joined by marks.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
     r"[A-Za-z]+",
     r"[0-9]+",
     r"(?:[A-Za-z]+|[0-9]+)(?:[-_/+=](?:[A-Za-z]+|[0-9]+))+",
-    r"(?i:[0-9a-z+/=_-]*(?:abcdefghij|0123456789)[0-9a-z+/=_-]*)",
 )
 
 
+def _ordered() -> re.Pattern:
+    rest = ""
+    for ch in reversed("klmnopqrstuvwxyz"):
+        rest = f"(?:{ch}{rest})?"
+    return re.compile(f"abcdefghij{rest}|0123456789", re.I | re.A)
+
+
+#: Ordered runs are no part of a secret: candidates are cut at them, and each piece is judged alone.
+ORDERED = _ordered()
+#: Parts of names made of capitalised or joined words and numbers; in a name they have ``NAME_PART`` characters on average.
+NAME = re.compile(r"[A-Z][a-z]+|[a-z]{2,}|[A-Z]{2,}|[0-9]+")
+NAME_PART = 3
+MIXED = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])")
+MARKS = "+/_=-"
+
+
 def entropy_windows(value: str, window: int, bits: float) -> Iterator[tuple[int, int]]:
     """Joined ranges covered by windows of at least ``bits`` bits of entropy per character.
 
@@ -82,13 +102,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def is_name(value: str) -> bool:
+    parts = NAME.findall(value)
+    return NAME_PART * len(parts) <= len(value) and sum(map(len, parts)) == sum(ch not in MARKS for ch in value)
+
+
+def pieces(value: str, start: int) -> Iterator[tuple[int, str]]:
+    """The candidate in pieces between its ordered runs, each with its place in the text."""
+    at = 0
+    for m in ORDERED.finditer(value):
+        yield start + at, value[at : m.start()]
+        at = m.end()
+    yield start + at, value[at:]
+
+
 def entropy_spans(text: str, classes: tuple[CharClass, ...], allowed: re.Pattern) -> list[tuple[int, int, int]]:
-    """Spans of high entropy, joined over the classes; a candidate that is allowed as a whole is left out."""
+    """Spans of high entropy, joined over the classes; a piece that is allowed as a whole is left out."""
     found: list[tuple[int, int]] = []
     for cls in classes:
         for m in re.finditer(cls.pattern, text):
-            if not allowed.fullmatch(m.group()):
-                found += [(m.start() + a, m.start() + b) for a, b in entropy_windows(m.group(), cls.window, cls.bits)]
+            if allowed.fullmatch(m.group()):
+                continue
+            for start, piece in pieces(m.group(), m.start()):
+                window, bits = cls.window, cls.bits
+                if len(piece) < window:
+                    if not cls.shortest or len(piece) < cls.shortest or not MIXED.match(piece) or is_name(piece):
+                        continue
+                    window, bits = len(piece), bits * math.log2(len(piece)) / math.log2(window)
+                if not allowed.fullmatch(piece.strip(MARKS)):
+                    found += [(start + a, start + b) for a, b in entropy_windows(piece, window, bits)]
     out: list[list[int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:

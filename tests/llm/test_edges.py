@@ -268,6 +268,20 @@ def test_secret_spans():
         assert secrets.scan_text(harmless)[1] == [], harmless
 
 
+def test_secrets_beside_ordered_runs_and_short_ones():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzEX9kQ"
+    for text in (f"order=0123456789/{key}", f"{key}_abcdefghijklm", f"see {key}=ABCDEFGHIJ/{key} end"):
+        covered = {i for a, k, b in secrets.scan_text(text)[1] if secrets.KINDS[k] == "entropy" for i in range(a, b)}
+        missed = [text[i] for m in re.finditer(key, text) for i in range(*m.span()) if i not in covered]
+        assert not missed, text
+        assert not covered & {i for m in re.finditer("0123456789|abcdefghijklm|ABCDEFGHIJ", text) for i in range(*m.span())}
+    for short in ("q7Rt2LxV9bKw4ZpN", "Zk3vQ8mT1xWc6RyB5hJ", "aB3dE6gH9kL2nP5rS8uV1xY"):
+        assert [s for s in secrets.scan_text(f"a {short} b")[1] if s[1] == 3] == [(2, 3, 2 + len(short))]
+    for harmless in ("getElementById2Foo", "parseHtml5Document", "order=0123456789/some-long-identifier-of-many-words", "UTF8StringEncoding", "rechtsschutz-2024",
+                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        assert secrets.scan_text(harmless)[1] == [], harmless
+
+
 def test_entropy_windows_against_direct_counts():
     rng = random.Random(2)
     for _ in range(60):
