@@ -17,8 +17,8 @@ CENTROIDS = 4
 #: Labelled texts per language (expected number) that the centroids are fitted on.
 SAMPLE = 1000
 MAX_LANGUAGES = 1000
-#: A text is rejected when its cosine is below this share of the lowest one among its centroid's own texts.
-SLACK = 0.5
+#: A text is rejected when its cosine is below this share of a low quantile of those of its centroid's own texts.
+SLACK, LOW = 0.5, 0.05
 #: A text with k distinct n-grams reaches a cosine of about sqrt(k); from this k on, no more is expected.
 FULL_GRAMS = 200
 GROUP = 128
@@ -116,8 +116,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
 
 
 def cluster(x: np.ndarray, reached: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out seeds: unit centroids and, over each one's members, the lowest
-    cosine for its reach."""
+    """Spherical k-means from spread-out seeds: unit centroids and, over each one's members, a low
+    quantile of the cosine for its reach (a few mislabelled texts do not move it)."""
     seeds = [x.mean(axis=0)]
     nearest = np.full(len(x), -1.0)
     for _ in range(min(k, len(x)) - 1):
@@ -132,17 +132,19 @@ def cluster(x: np.ndarray, reached: np.ndarray, k: int, rounds: int = 12) -> tup
     sims = x @ c.T
     own = np.argmax(sims, axis=1)
     sims /= reached[:, None]
-    low = np.array([sims[own == j, j].min() if (own == j).any() else 0.0 for j in range(len(c))])
+    low = np.array([np.quantile(sims[own == j, j], LOW) if (own == j).any() else 0.0 for j in range(len(c))])
     return c, low
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS, sample: int = SAMPLE, slack: float = SLACK) -> Centroids:
     """Fit on rows with text and language. The idf covers all of them; the centroids of a language
-    are clustered on about ``sample`` of its rows, drawn by a hash. Rows without letters teach nothing.
+    are clustered on about ``sample`` of its different texts (all, when there are no more), drawn by a hash.
+    Rows without letters teach nothing.
     """
     rows = in_small_batches(labelled).select(F.col(f"`{text}`").cast("string").alias("__text"), F.col(f"`{lang}`").cast("string").alias("__lang"))
     rows = rows.where(F.col("__lang").isNotNull() & F.col("__text").rlike(r"\p{L}"))
-    sizes = rows.groupBy("__lang").count().limit(MAX_LANGUAGES + 1).collect()
+    texts = rows.select("__lang", F.xxhash64("__text").alias("h")).distinct()
+    sizes = texts.groupBy("__lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
@@ -161,6 +163,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CE
 
     fitted = drawn.groupBy("__lang").applyInPandas(group, "lang string, part int, low double, c array<float>").collect()
     fitted.sort(key=lambda r: (r.lang, r.part))  # languages times k rows
+    missing = {name for name, _ in sizes} - {r.lang for r in fitted}
+    if missing:
+        raise RuntimeError(f"no text drawn for languages {sorted(missing)}")
     matrix = np.array([r.c for r in fitted], np.float32).reshape(len(fitted), SLOTS)
     return Centroids(idf, [r.lang for r in fitted], matrix, np.array([slack * r.low for r in fitted]))
 

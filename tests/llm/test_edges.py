@@ -187,6 +187,27 @@ def test_language_defined_results(docs, empty):
     assert {r[0] for r in language.predict(docs, language.fit(empty)).select("__lang").distinct().collect()} == {"und"}
 
 
+def test_language_learns_from_different_texts(spark):
+    # "a": 400 copies of one text and 12 others; "b": 300 rows of 6 texts. Few of them are drawn when copies count.
+    rng = random.Random(3)
+    words = {x: ["".join(rng.choice(x) for _ in range(5)) for _ in range(12)] for x in ("abcde", "fghij", "vwxyz", "klmno")}
+    make = lambda letters: " ".join(rng.choice(words[letters]) for _ in range(60))
+    rows = [(make("abcde"), "a")] * 400 + [(make("fghij"), "a") for _ in range(12)] + [(make("vwxyz"), "b") for _ in range(6)] * 50
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=20)
+    assert set(model.langs) == {"a", "b"}
+    asked = spark.createDataFrame([(make("fghij"), "a"), (make("abcde"), "a"), (make("vwxyz"), "b"), (make("klmno"), None)], "text string, lang string")
+    for r in language.predict(asked, model).collect():
+        assert r["__rejected"] if r.lang is None else (r["__lang"] == r.lang and not r["__rejected"])
+
+
+def test_language_floor_ignores_a_mislabelled_text():
+    x = np.zeros((200, 8), np.float32)
+    x[:, 0] = 1
+    x[7] = np.eye(8, dtype=np.float32)[5]
+    _, low = language.cluster(x, np.ones(200), 1)
+    assert low[0] > 0.9
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
