@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from maskwright.llm import language, lm, minhash, mixing, packing, quality, secrets, topk, toxicity, vectors
-from maskwright.llm.common import fold, sent_if_small
+from maskwright.llm import divergence, fim, language, lm, minhash, mixing, packing, quality, rules, secrets, topk, toxicity, vectors
+from maskwright.llm.common import fold, sent_if_small, unit_draw
 from maskwright.session import cut
 
 
@@ -88,10 +88,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n, _ in secrets.RESULT])
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut in three and rearranged, and put together again."""
+    moved = fim.restore(fim.transform(documents(spark, sf_dir).select("doc_id", "text")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{n}_sha256") for c, n in (("__output", "output"), ("__restored", "restored"))]
+    return moved.select("doc_id", F.col("__units").alias("n"), F.col("__form").alias("form"), F.col("__prefix_chars").alias("prefix_chars"),
+                        F.col("__middle_chars").alias("middle_chars"), *digests)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in their terms, and which terms mark a source."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; the trusted texts are four fifths of those labelled as good."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = labels.where((F.col("quality") == 1) & (unit_draw(41, "doc_id") < 0.8)).select("doc_id")
+    out = rules.judge(docs, rules.fit(docs, good))
+    return out.select("doc_id", *[F.col(f"__{n}").alias(n) for n in rules.RESULT])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_minhash_dedup, op3_toxicity, op4_embedding_dedup, op5_exact_top_k, op6_context_mixing,
-              op7_importance_resampling, op8_mix_sources, op9_best_fit_packing, op10_secret_scan)
+              op7_importance_resampling, op8_mix_sources, op9_best_fit_packing, op10_secret_scan, op11_fill_in_middle,
+              op12_source_divergence, op13_quality_rules)
 }
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -143,4 +166,61 @@ r AS (SELECT *, CASE WHEN ss = 0 THEN 0 ELSE least(target / ss, 3.0::DOUBLE) END
 SELECT d.doc_id, d.size::BIGINT AS size, r.ss AS source_size, r.target,
   (d.size * (floor(rate) + (('0x' || substr(md5('{mixing.SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(d.text, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < rate - floor(rate))::INT))::BIGINT AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us,
+    ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), k AS (
+  SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), c AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), n AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (SELECT DISTINCT lang, source FROM d
+), gt AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term
+), p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM gt JOIN v USING (lang)
+), lt AS (SELECT lang, term, sum(c) AS c FROM gt GROUP BY lang, term
+), q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (sum(c) OVER (PARTITION BY lang) + 5 * v) AS q FROM lt JOIN v USING (lang)
+), f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
+    "op13_quality_rules": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents
+), lines AS (
+  SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+), win AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) > 4)
+), twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, w) > 1
+), covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice CROSS JOIN range(5) AS o(k) GROUP BY r
+), base AS (
+  SELECT d.r, doc_id, t, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
+  FROM d JOIN lines USING (r) LEFT JOIN covered USING (r)
+), u AS (SELECT r, doc_id, list_transform(string_split(t, ''), lambda x: unicode(x)::BIGINT) AS u FROM d WHERE length(t) > 2
+), g AS (SELECT r, doc_id, unnest(list_transform(range(1, len(u) - 1), lambda i: ((u[i] * 1000003 + u[i + 1]) * 1000003 + u[i + 2]) % 2147483647 % 65536)) AS b FROM u
+), draws AS (
+  SELECT DISTINCT doc_id, ('0x' || substr(md5('41:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS held,
+    ('0x' || substr(md5('53:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS part FROM labels WHERE quality = 1
+), good AS (SELECT doc_id, part < 0.25 AS sets FROM draws WHERE held < 0.8
+), n AS (SELECT b, count(*) AS raw, count(*) FILTER (WHERE NOT sets) AS target FROM g LEFT JOIN good USING (doc_id) GROUP BY b
+), s AS (SELECT sum(raw) + 65536 AS raws, sum(target) + 65536 AS targets FROM n
+), logs AS (SELECT b, round(1e6 * ln(((target + 1) * raws)::DOUBLE / ((raw + 1) * targets)::DOUBLE))::BIGINT AS x FROM n, s
+), scores AS (SELECT r, doc_id, sum(x)::DOUBLE / count(*) AS score FROM g JOIN logs USING (b) GROUP BY r, doc_id
+), least AS (SELECT quantile_cont(score, 0.005) - 250000 AS score FROM scores JOIN good USING (doc_id) WHERE sets
+), f AS (SELECT base.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, coalesce(scores.score, 0) AS score FROM base LEFT JOIN scores USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND f.score >= least.score AS kept, f.score FROM f, least""",
 }
