@@ -1,10 +1,11 @@
 """Named queries: weak labels, examples, hashes, corrections, audit log."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from maskwright.catalog import query
 from maskwright.catalog.matching import _BANDS, _EXH, _MATCHES, candidate_matches, coverage
 from maskwright.operators import match, review as V, runs as R
+from maskwright.operators.replay import import_corrections
 
 _C = {**_MATCHES, **_BANDS, **_EXH, "labelled": """
     SELECT m.*, f.boundary_f1, e.exhaustivity_confident, CASE
@@ -273,6 +274,122 @@ def _(t):
     return V.re_export_keys(V.import_outcomes(_corrections(t)))
 
 
+# The whole import: predictions as correction lines over the label map of the ground truth. A line's recorded
+# state is that of the start or, for some, what the last rewrite of its image leaves.
+
+def _digest(px: str, ids: str) -> str:
+    """The state digest of lists of runs and of instances, in SQL."""
+    own = f"list_filter({px}, lambda e: e.i = k)"
+    text = f"array_to_string(list_transform(list_sort(list_transform({own}, lambda e: struct_pack(y := e.y, a := e.a, b := e.b))), lambda e: e.y || ',' || e.a || ',' || e.b), ';')"
+    keys = f"list_sort(list_distinct(list_concat(list_transform({ids}, lambda e: e.i), list_transform({px}, lambda e: e.i))))"
+    return (f"sha256(array_to_string(list_transform({keys}, lambda k: k || ':' || coalesce(list_filter({ids}, lambda e: e.i = k)[1].t, '') || ':' || "
+            f"CASE WHEN len({own}) = 0 THEN '' ELSE sha256({text}) END), chr(10)))")
+
+
+_ZERO = "|| chr(0) ||"
+_IMPORT = {
+    "payload": """
+    SELECT image_id, inst_id, type_label, list(struct_pack(y := y, a := x0, b := x1) ORDER BY y) AS m, sha256(string_agg(y || ',' || x0 || ',' || x1, ';' ORDER BY y)) AS mh
+    FROM pred_runs GROUP BY ALL""",
+    "owner": "SELECT image_id, y, x, max(inst_id) AS i FROM gt_px GROUP BY ALL",
+    "runs0": """
+    SELECT image_id, i, y, min(x)::BIGINT AS a, max(x)::BIGINT + 1 AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY image_id, i, y ORDER BY x) AS g FROM owner) GROUP BY image_id, i, y, g""",
+    "init": f"""
+    SELECT image_id, coalesce(px, []) AS px, coalesce(ids, []) AS ids, {_digest("coalesce(px, [])", "coalesce(ids, [])")} AS h0 FROM (SELECT DISTINCT image_id FROM payload)
+    LEFT JOIN (SELECT image_id, list(struct_pack(y := y::BIGINT, a := a, b := b, i := i) ORDER BY y, a) AS px FROM runs0 GROUP BY image_id) USING (image_id)
+    LEFT JOIN (SELECT image_id, list(struct_pack(i := inst_id, t := type_label) ORDER BY inst_id) AS ids FROM gt GROUP BY image_id) USING (image_id)""",
+    "lined": """
+    SELECT image_id, inst_id AS line_no, type_label AS label, m, 's' || image_id AS sample_id, 'rev_' || inst_id AS rev, h0,
+      CASE inst_id % 3 WHEN 0 THEN 'satellite_mv' WHEN 1 THEN 'satellite_ev' ELSE 'stream_ev' END AS family,
+      CASE WHEN inst_id % 11 = 7 THEN 'drop_top1' WHEN inst_id % 11 = 3 THEN 'gt_complete' END AS variant,
+      CASE WHEN inst_id % 12 = 0 THEN 'pre_merge_rejected' ELSE 'authoritative' END AS source, CASE WHEN inst_id % 9 <> 0 THEN inst_id END AS target,
+      last_value(CASE WHEN inst_id % 3 = 1 THEN sha256(inst_id || ':' || type_label || ':' || mh) END IGNORE NULLS) OVER (PARTITION BY image_id ORDER BY inst_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before,
+      row_number() OVER (PARTITION BY image_id ORDER BY inst_id) AS rn
+    FROM payload JOIN init USING (image_id)""",
+    "lines": f"""
+    SELECT *, family {_ZERO} sample_id {_ZERO} rev {_ZERO} 'spec' {_ZERO} 'prompt' {_ZERO} 'img' || chr(0) AS head, coalesce(chr(0) || variant, '') AS tail,
+      CASE WHEN family <> 'satellite_mv' THEN sha256(family {_ZERO} sample_id {_ZERO} rev {_ZERO} 'spec' {_ZERO} 'prompt' {_ZERO} 'img' {_ZERO} CASE WHEN line_no % 4 <> 1 AND before IS NOT NULL THEN before ELSE h0 END || coalesce(chr(0) || variant, ''))
+        WHEN line_no % 7 = 0 THEN 'old' ELSE sha256('satellite_mv' {_ZERO} sample_id {_ZERO} rev {_ZERO} 'spec' {_ZERO} 'prompt' {_ZERO} 'm' {_ZERO} 'b' {_ZERO} 'c' {_ZERO} 'ctx' {_ZERO} source {_ZERO} coalesce(target::VARCHAR, '')) END AS rh
+    FROM lined""",
+    "rec": f"""
+    SELECT image_id, 0::BIGINT AS rn, px, ids, NULL::VARCHAR AS refusal, '' AS state_hash FROM init
+    UNION ALL
+    SELECT image_id, rn, px, ids, refusal, CASE WHEN refusal IS NULL AND family <> 'satellite_mv' THEN {_digest("px", "ids")} ELSE '' END FROM (
+      SELECT image_id, rn, refusal, family, CASE WHEN refusal IS NULL THEN list_concat(
+          flatten(list_transform(kept, lambda e: CASE WHEN len(list_filter(m, lambda x: x.y = e.y AND x.a < e.b AND x.b > e.a)) = 0 THEN [e] ELSE list_filter([
+            struct_pack(y := e.y, a := e.a, b := least(e.b, list_filter(m, lambda x: x.y = e.y)[1].a), i := e.i),
+            struct_pack(y := e.y, a := greatest(e.a, list_filter(m, lambda x: x.y = e.y)[1].b), b := e.b, i := e.i)], lambda z: z.a < z.b) END)),
+          list_transform(m, lambda x: struct_pack(y := x.y, a := x.a, b := x.b, i := line_no))) ELSE px END AS px,
+        CASE WHEN refusal IS NOT NULL OR family = 'satellite_mv' THEN ids WHEN family = 'satellite_ev' THEN [struct_pack(i := line_no, t := label)]
+          ELSE list_append(list_filter(ids, lambda e: e.t <> 'tidal_features'), struct_pack(i := line_no, t := 'tidal_features')) END AS ids
+      FROM (
+        SELECT r.image_id, l.rn, l.line_no, l.label, l.m, l.family, r.px, r.ids,
+          CASE l.family WHEN 'satellite_mv' THEN list_filter(r.px, lambda e: e.i <> l.line_no) WHEN 'satellite_ev' THEN r.px[1:0]
+            ELSE list_filter(r.px, lambda e: NOT list_contains(list_transform(list_filter(r.ids, lambda d: d.t = 'tidal_features'), lambda d: d.i), e.i)) END AS kept,
+          CASE WHEN l.family = 'satellite_mv' THEN CASE WHEN l.rh = 'old' THEN 'stale_revision' WHEN l.source <> 'authoritative' THEN 'rejected_candidate' WHEN l.target IS NULL THEN 'no_instance' END
+            WHEN sha256(l.head || {_digest("r.px", "r.ids")} || l.tail) <> l.rh THEN 'stale_revision' WHEN l.variant NOT IN ('gt_complete', 'gt_empty') THEN 'variant_not_safe'
+            WHEN l.family = 'stream_ev' AND len(list_filter(r.ids, lambda d: d.i = l.line_no AND d.t = 'tidal_features')) = 0 THEN 'not_a_stream' END AS refusal
+        FROM rec r JOIN lines l ON l.image_id = r.image_id AND l.rn = r.rn + 1))""",
+    "imported": f"""
+    SELECT image_id, line_no, family, refusal, rev, rh, CASE WHEN refusal IS NULL THEN 'rev_' || substr(sha256(rev || ':' || line_no || ':' || rh), 1, 8) END AS new_rev, CASE WHEN refusal IS NULL THEN CASE WHEN family = 'satellite_mv'
+        THEN sha256('satellite_mv' {_ZERO} sample_id {_ZERO} 'rev_' || substr(sha256(rev || ':' || line_no || ':' || rh), 1, 8) {_ZERO} 'spec' {_ZERO} 'prompt' {_ZERO} 'm' {_ZERO} 'b' {_ZERO} 'c' {_ZERO} 'ctx' {_ZERO} source {_ZERO} target)
+        ELSE sha256(family {_ZERO} sample_id {_ZERO} 'rev_' || substr(sha256(rev || ':' || line_no || ':' || rh), 1, 8) {_ZERO} 'spec' {_ZERO} 'prompt' {_ZERO} 'img' {_ZERO} state_hash || tail) END END AS new_hash
+    FROM rec JOIN lines USING (image_id, rn)""",
+    "last_state": "SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY rn DESC) = 1",
+}
+
+
+def _imported(t):
+    runs = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("y", "x0", "x1")])))
+    payload = t.pred_runs.groupBy("image_id", "inst_id", "type_label").agg(runs.alias("runs"))
+    text = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("y", "x0", "x1")])), ";")
+    single = F.sha2(F.concat_ws(":", F.col("inst_id").cast("string"), "type_label", F.sha2(text, 256)), 256)
+    label_map = R.merge_tiles(R.paint(t.gt_runs, F.col("inst_id")), ["image_id", "inst_id"])
+    kept = label_map.select("image_id", "inst_id", "y", "x0", "x1")
+    start = V.annotation_state_hash(kept, t.gt).withColumnRenamed("annotation_state_hash", "h0")
+    k = F.col("inst_id")
+    before = F.last(F.when(k % 3 == 1, single), ignorenulls=True).over(W.partitionBy("image_id").orderBy("inst_id").rowsBetween(W.unboundedPreceding, -1))
+    family = F.when(k % 3 == 0, "satellite_mv").when(k % 3 == 1, "satellite_ev").otherwise("stream_ev")
+    rows = payload.join(start, "image_id", "left").select(
+        "image_id", k.alias("line_no"), F.concat(F.lit("s"), F.col("image_id").cast("string")).alias("sample_id"), F.concat(F.lit("rev_"), k.cast("string")).alias("task_revision_id"),
+        family.alias("task_family"), F.when(k % 11 == 7, "drop_top1").when(k % 11 == 3, "gt_complete").alias("variant_id"),
+        F.when(k % 12 == 0, "pre_merge_rejected").otherwise("authoritative").alias("candidate_source"), F.when(k % 9 != 0, k).alias("inst_id"),
+        *[F.lit(v).alias(c) for c, v in (("render_spec_id", "spec"), ("fixed_prompt_id", "prompt"), ("review_image_sha1", "img"), ("mask_json", "m"), ("box_json", "b"), ("crop_json", "c"), ("context_sha1", "ctx"))],
+        F.lit(None).cast("string").alias("fragment_hints_hash"), F.array(F.struct(k.alias("inst_id"), "type_label", "runs")).alias("masks"),
+        before.alias("before"), F.coalesce("h0", F.sha2(F.lit(""), 256)).alias("h0"))
+    state = F.when((F.col("line_no") % 4 != 1) & F.col("before").isNotNull(), F.col("before")).otherwise(F.col("h0"))
+    parts = [F.col(c) for c in ("sample_id", "task_revision_id", "render_spec_id", "fixed_prompt_id")]
+    ev = V.revision_hash_ev(F.col("task_family"), *parts, F.col("review_image_sha1"), state, F.lit(None).cast("string"), F.col("variant_id"))
+    mv = V.revision_hash_mv(*parts, *[F.col(c) for c in ("mask_json", "box_json", "crop_json", "context_sha1", "candidate_source", "inst_id")])
+    recorded = F.when(F.col("task_family") != "satellite_mv", ev).when(F.col("line_no") % 7 == 0, "old").otherwise(mv)
+    return import_corrections(rows.withColumn("revision_hash", recorded).drop("before", "h0"), t.gt.select("image_id", "inst_id", "type_label"), kept, stream_label="tidal_features")
+
+
+@query("r17_import_lines", """
+    SELECT image_id, line_no, family AS task_family, refusal, CASE WHEN refusal IS NULL THEN 'OK' ELSE 'rejected' END AS outcome, new_rev AS new_task_revision_id, new_hash AS new_revision_hash FROM imported""", ctes=_IMPORT)
+def _(t):
+    return _imported(t).outcomes.select("image_id", "line_no", "task_family", "refusal", "outcome", "new_task_revision_id", "new_revision_hash")
+
+
+@query("r17_new_state", """
+    SELECT image_id, i AS inst_id, t AS type_label, coalesce(area, 0)::BIGINT AS area, mask_sha256 FROM (
+      SELECT image_id, e.i AS i, sum(e.b - e.a) AS area, sha256(string_agg(e.y || ',' || e.a || ',' || e.b, ';' ORDER BY e.y, e.a)) AS mask_sha256 FROM (SELECT image_id, unnest(px) AS e FROM last_state) GROUP BY ALL)
+    FULL JOIN (SELECT image_id, e.i AS i, e.t AS t FROM (SELECT image_id, unnest(ids) AS e FROM last_state)) USING (image_id, i)""", ctes=_IMPORT)
+def _(t):
+    """State of the samples with lines after the batch; painted ids that are not listed have no type."""
+    done = _imported(t)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))), lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("y", "x0", "x1")])), ";")
+    masks = done.runs.groupBy("image_id", "inst_id").agg(F.sum(F.expr("cast(x1 - x0 as bigint)")).alias("area"), F.sha2(text, 256).alias("mask_sha256"))
+    both = done.instances.join(masks, ["image_id", "inst_id"], "full_outer").join(t.pred.select("image_id").distinct(), "image_id", "left_semi")
+    return both.select("image_id", "inst_id", "type_label", F.coalesce("area", F.lit(0)).cast("long").alias("area"), "mask_sha256")
+
+
+@query("r17_links", """
+    SELECT rev AS original_task_revision_id, new_rev AS correction_task_revision_id, rh AS original_revision_hash, new_hash AS new_revision_hash, 'superseded' AS status FROM imported WHERE refusal IS NULL""", ctes=_IMPORT)
+def _(t):
+    return _imported(t).links.drop("seq")
+
+
 @query("r14_superseded", """
     SELECT o_orderkey::BIGINT AS task_revision_id, o_custkey IN (SELECT o_custkey FROM orders GROUP BY ALL HAVING arg_max(o_orderstatus, o_orderkey) <> 'P') AS is_superseded FROM orders""")
 def _(t):

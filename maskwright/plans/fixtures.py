@@ -251,4 +251,5 @@ def with_ctes(body: str, doubles: str = "", ctes: dict[str, str] | None = None)
     if doubles:
         swap = ", ".join(f"round({c}, 9) + 0.0::DOUBLE AS {c}" for c in doubles.split())
         body = f"SELECT * REPLACE ({swap}) FROM ({body})"
-    return f"WITH {head} {body}" if head else body
+    again = any(re.search(rf"\b{n}\b", known[n]) for n in need)  # a table that reads itself
+    return f"WITH {'RECURSIVE ' * again}{head} {body}" if head else body
