@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from maskwright.llm.common import as_text, in_small_batches, text_bytes, text_slices
+from maskwright.llm.common import as_text, in_small_batches, sent_if_small, text_bytes, text_slices
 from maskwright.session import cut
 
 #: What stands between terms: other ASCII characters than letters.
@@ -22,7 +22,7 @@ BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of its language that a kept term is in, weight of the smoothing, whole of a share, ranks of the term part.
 LEAST_DOCUMENTS, SMOOTH, WHOLE, RANKS = 30, 5, 1_000_000_000, 50
 #: Partial counts held in a task before they are sent on, and cells (sources x terms) of a shard.
-FLUSH_ROWS, SHARD_CELLS = 1 << 19, 1 << 20
+FLUSH_ROWS, SHARD_CELLS = 1 << 19, 1 << 16
 COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
@@ -144,6 +144,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     kept = terms.groupBy("lang").agg(F.count_distinct("term").alias("kept"))
     per_lang = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("sources")).join(kept, "lang", "left").fillna(0, ["kept"])
     per_lang = per_lang.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("kept") * F.col("sources") / F.lit(SHARD_CELLS))).cast("int"))
+    per_lang = sent_if_small(cut(per_lang))  # one row a language; a join by key would put a language's terms into one task
     heads = groups.join(per_lang, "lang").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     heads = heads.select("lang", "shard", "source", F.lit(None).cast("string").alias("term"), "n", "kept")
     dealt = terms.join(per_lang, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("shards")).cast("int").alias("shard"), "source", "term", "n", "kept")
