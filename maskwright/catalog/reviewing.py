@@ -5,7 +5,7 @@ from pyspark.sql import Window as W, functions as F
 from maskwright.catalog import query
 from maskwright.catalog.matching import _BANDS, _EXH, _MATCHES, candidate_matches, coverage
 from maskwright.operators import match, review as V, runs as R
-from maskwright.operators.replay import import_corrections
+from maskwright.operators.replay import adopt, import_corrections, migrate_overrides
 
 _C = {**_MATCHES, **_BANDS, **_EXH, "labelled": """
     SELECT m.*, f.boundary_f1, e.exhaustivity_confident, CASE
@@ -443,20 +443,77 @@ def _(t):
     return V.audit_fold(audit_log(t))
 
 
-def _adopt(t):
+def _numbered(t):
+    """Ground truth as label map with small ids, in the order of the old ones; larger ones on top."""
     from maskwright.operators.numbering import number_rows
 
     inst = number_rows(t.gt.select("image_id", F.col("inst_id").alias("old"), "type_label"), ["image_id"], [F.col("old")], "inst_id")
-    for c in ("source_prediction_path", "source_candidate_id", "source_candidate_rle_sha1"):
-        inst = inst.withColumn(c, F.when(F.col("old") % 6 == 0, F.col("old").cast("string")))
     runs = t.gt_runs.withColumnRenamed("inst_id", "old").join(inst.select("image_id", "old", "inst_id"), ["image_id", "old"])
-    req = t.pred.select("image_id", F.col("inst_id").alias("request_id"), "type_label", *[F.col("inst_id").cast("string").alias(c) for c in ("source_prediction_path", "source_candidate_id", "source_candidate_rle_sha1")])
-    return V.adopt(req, inst.drop("old"), runs.select("image_id", "inst_id", "y", "x0", "x1"), t.pred_runs.withColumnRenamed("inst_id", "request_id"), audit_log(t), min_area=40)
+    return inst, R.paint(runs.select("image_id", "inst_id", "y", "x0", "x1"), F.col("inst_id"))
+
+
+def _adopt(t):
+    inst, runs = _numbered(t)
+    for c in V.SOURCE:
+        inst = inst.withColumn(c, F.when(F.col("old") % 6 == 0, (F.col("old") % 50).cast("string")))
+    req = t.pred.select("image_id", F.col("inst_id").alias("request_id"), "type_label", *[(F.col("inst_id") % 50).cast("string").alias(c) for c in V.SOURCE],
+                        F.when(F.col("inst_id") % 3 == 0, "by hand").alias("manual_note"), F.when(F.col("image_id") % 11 == 3, "pseudo").otherwise("authoritative").alias("label_mode"))
+    return adopt(req, inst.drop("old"), runs, t.pred_runs.withColumnRenamed("inst_id", "request_id"), audit_log(t), min_area=40)
+
+
+_LIMIT = 255
+_START = {**_LOG, "numbered": "SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY inst_id) AS nr FROM gt",
+          "used": "SELECT image_id, max(v) AS v FROM (SELECT image_id, nr AS v FROM numbered UNION ALL SELECT image_id, unnest([a, d]) FROM log WHERE status <> 'failed') GROUP BY ALL",
+          "covered": "SELECT image_id, bitstring_agg((y * 256 + x)::INT, 0, 65535) AS bits FROM gt_px GROUP BY ALL",
+          "begin_at": """
+    SELECT i.image_id, coalesce(c.bits, bitstring('0', 65536)) AS taken, coalesce(u.v, 0)::BIGINT AS top, []::VARCHAR[] AS sources
+    FROM images i LEFT JOIN covered c USING (image_id) LEFT JOIN used u USING (image_id)"""}
+
+
+def _adopting(requests: str, least: int) -> dict[str, str]:
+    """Requests (image_id, request_id, rn, type_label, source, had, mode, px, bits, note) one after the other."""
+    return {"asked": requests, "turns": f"""
+    SELECT image_id, 0::BIGINT AS rn, taken, top, sources, NULL::VARCHAR AS outcome, NULL::BIGINT AS area, []::BIGINT[] AS free FROM begin_at
+    UNION ALL
+    SELECT image_id, rn, CASE WHEN outcome = 'adopted' THEN taken | bits ELSE taken END, CASE WHEN outcome = 'adopted' THEN top + 1 ELSE top END,
+      CASE WHEN outcome = 'adopted' THEN list_append(sources, source) ELSE sources END, outcome, CASE WHEN outcome IN ('adopted', 'empty_crop', 'area_too_small') THEN len(free) END, free FROM (
+      SELECT *, CASE WHEN mode <> 'authoritative' THEN 'not_authoritative' WHEN type_label <> 'satellites' THEN 'unsupported_type' WHEN had OR list_contains(sources, source) THEN 'duplicate'
+        WHEN top >= {_LIMIT} THEN 'id_overflow' WHEN len(free) = 0 THEN 'empty_crop' WHEN len(free) < {least} THEN 'area_too_small' ELSE 'adopted' END AS outcome FROM (
+        SELECT a.*, t.taken, t.top, t.sources, list_filter(a.px, lambda p: get_bit(t.taken, p::INT) = 0) AS free FROM turns t JOIN asked a ON a.image_id = t.image_id AND a.rn = t.rn + 1))""",
+            "boxed": """
+    SELECT image_id, request_id, outcome, CASE WHEN outcome = 'adopted' THEN top END AS inst_id, area, note, source, CASE WHEN outcome = 'adopted' THEN area::DOUBLE /
+        ((list_max(free) // 256 - list_min(free) // 256 + 1) * (list_max(list_transform(free, lambda p: p % 256)) - list_min(list_transform(free, lambda p: p % 256)) + 1)) END AS fill
+    FROM turns JOIN asked USING (image_id, rn)"""}
+
+
+_MASK_BITS = "SELECT image_id, inst_id, list((y * 256 + x)::BIGINT ORDER BY y, x) AS px, bitstring_agg((y * 256 + x)::INT, 0, 65535) AS bits FROM pred_px GROUP BY ALL"
+_ADOPT = {**_START, "drawn": _MASK_BITS, **_adopting("""
+    SELECT p.image_id, p.inst_id AS request_id, row_number() OVER (PARTITION BY p.image_id ORDER BY p.inst_id) AS rn, type_label, (p.inst_id % 50)::VARCHAR AS source,
+      (p.image_id, p.inst_id % 50) IN (SELECT image_id, inst_id % 50 FROM gt WHERE type_label = 'satellites' AND inst_id % 6 = 0) AS had,
+      CASE WHEN p.image_id % 11 = 3 THEN 'pseudo' ELSE 'authoritative' END AS mode, px, bits, CASE WHEN p.inst_id % 3 = 0 THEN 'by hand' END AS note
+    FROM pred p JOIN drawn USING (image_id, inst_id)""", 40)}
+
+
+@query("r18_adopt", "SELECT image_id, request_id, outcome, inst_id AS assigned_instance_id, area AS cropped_area_px FROM boxed", ctes=_ADOPT)
+def _(t):
+    return _adopt(t).verdicts.select("image_id", "request_id", "outcome", "assigned_instance_id", "cropped_area_px")
 
 
-@query("r18_adopt")
+@query("r18_provenance", """
+    SELECT image_id, inst_id, 'satellites' AS type_label, 'manual_adopted' AS label_source, source AS source_candidate_id, area AS area,
+      CASE WHEN fill >= 0.1::DOUBLE THEN note ELSE concat_ws(' | ', note, 'warning:bbox_fill_lt_0.10 (' || printf('%.4f', fill) || ')') END AS manual_note,
+      substr(sha256(concat_ws(':', image_id, request_id, source, source, source)), 1, 32) AS operation_id FROM boxed WHERE outcome = 'adopted'""", ctes=_ADOPT)
 def _(t):
-    return _adopt(t)[0]
+    """Instance rows that adoption adds, with the pixels they really got."""
+    done = _adopt(t)
+    return done.instances.join(R.areas(done.runs), ["image_id", "inst_id"]).select("image_id", "inst_id", "type_label", "label_source", "source_candidate_id", "area", "manual_note", "operation_id")
+
+
+@query("r18_log", """
+    SELECT image_id, request_id, unnest(['prepared', 'committed']) AS status, 'adopt_raw_satellite' AS operation, inst_id AS assigned_instance_id, area AS cropped_area_px, fill AS bbox_fill
+    FROM boxed WHERE outcome = 'adopted'""", ctes=_ADOPT, doubles="bbox_fill")
+def _(t):
+    return _adopt(t).log.select("image_id", "request_id", "status", "operation", "assigned_instance_id", "cropped_area_px", "bbox_fill")
 
 
 @query("r19_delete", """
@@ -478,3 +535,90 @@ def _(t):
                          F.when(drop, F.array(entry)).otherwise(F.array()).alias("force_drop"), F.array(inject).alias("inject_from_json"))
     routed = V.route_overrides(ov)
     return V.override_summary(routed.withColumn("error", F.when(F.col("candidate_rle_sha1").cast("long") % 10 == 0, "failed")))
+
+
+# Overrides: predictions as kept and dropped entries. Hashes and ids repeat inside an image, so selectors can be ambiguous.
+
+_KEY = 10_000_000
+
+
+def _overrides(t, dry_run=False):
+    k, image = F.col("inst_id"), F.col("image_id")
+    sha, cid = F.concat(F.lit("h"), (k % 40).cast("string")), F.concat(F.lit("c"), (k % 7).cast("string"))
+    both = t.pred.select("image_id", "inst_id", "type_label", sha.alias("candidate_rle_sha1"), cid.alias("candidate_id"), k.alias("raw_index"), (image * _KEY + k).alias("pred_id"))
+    native = both.withColumn("doc", F.concat(F.lit("raw:"), image.cast("string")))
+    outside = native.where("image_id % 4 = 0 and inst_id % 40 in (1, 2, 3, 4)").withColumn("_n", F.row_number().over(W.partitionBy(k % 40).orderBy("pred_id"))).where("_n = 1").drop("_n").withColumn("doc", F.lit("outside.json"))
+    predictions = native.unionByName(outside)
+    masks = t.pred_runs.join(predictions.select("image_id", "inst_id", "doc", "pred_id"), ["image_id", "inst_id"])
+    silent = k % 14 == 0
+    entry = F.struct(F.when((k % 6).isin(0, 3) & ~silent, sha).alias("candidate_rle_sha1"), F.when(((k % 6).isin(1, 2) | (k % 12 == 0)) & ~silent, cid).alias("candidate_id"),
+                     F.when(((k % 6).isin(4, 5) | (k % 10 == 2)) & ~silent, k).alias("raw_index"), F.when(k % 4 == 0, "by hand").alias("note"))
+    gone = F.struct(F.when(k % 2 == 0, sha).alias("candidate_rle_sha1"), cid.alias("candidate_id"), F.lit(None).cast("long").alias("raw_index"), F.lit(None).cast("string").alias("note"))
+    lists = t.pred.groupBy("image_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(w, F.struct("inst_id", e.alias("e"))))), lambda s: s["e"]).alias(n)
+                                             for n, w, e in (("force_keep", k % 4 != 3, entry), ("force_drop", k % 5 < 2, gone))])
+    inject = F.when(image % 4 == 0, F.array(*[F.struct(F.lit(f"h{j}").alias("candidate_rle_sha1"), F.lit(p).alias("path")) for j, p in ((3, "outside.json"), (4, "outside.json"), (6, "gone.json"), (3, "gone.json"))]))
+    rows = lists.withColumn("inject_from_json", inject)
+    inst, runs = _numbered(t)
+    post = t.sats.select("image_id", k.alias("position"), "area", "cx", "cy", sha.alias("candidate_rle_sha1"), cid.alias("candidate_id"))
+    return migrate_overrides(rows, predictions, masks.select("doc", "pred_id", "y", "x0", "x1"), post, inst.drop("old"), runs, audit_log(t), dry_run, stream_label="tidal_features")
+
+
+_OVERRIDES = {**_START, "drawn": _MASK_BITS,
+              "keys": "SELECT image_id, inst_id, type_label, 'h' || (inst_id % 40) AS sha, 'c' || (inst_id % 7) AS cid, image_id * 10000000 + inst_id AS pred_id FROM pred",
+              "docs": """
+    SELECT 'raw:' || image_id AS doc, * FROM keys
+    UNION ALL SELECT 'outside.json', * FROM (SELECT * FROM keys WHERE image_id % 4 = 0 AND inst_id % 40 IN (1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY inst_id % 40 ORDER BY pred_id) = 1)""",
+              "keeps": """
+    SELECT *, CASE WHEN image_id % 4 = 0 AND sha IN ('h3', 'h4') THEN 'outside.json' WHEN image_id % 4 = 0 AND sha = 'h6' THEN 'gone.json' ELSE 'raw:' || image_id END AS doc FROM (
+      SELECT image_id, inst_id, row_number() OVER (PARTITION BY image_id ORDER BY inst_id) - 1 AS pos, CASE WHEN inst_id % 4 = 0 THEN 'by hand' END AS note,
+        CASE WHEN inst_id % 6 IN (0, 3) AND inst_id % 14 <> 0 THEN 'h' || (inst_id % 40) END AS sha,
+        CASE WHEN (inst_id % 6 IN (1, 2) OR inst_id % 12 = 0) AND inst_id % 14 <> 0 THEN 'c' || (inst_id % 7) END AS cid,
+        CASE WHEN (inst_id % 6 IN (4, 5) OR inst_id % 10 = 2) AND inst_id % 14 <> 0 THEN inst_id END AS raw_index FROM pred WHERE inst_id % 4 <> 3)""",
+              "kept_hits": """
+    SELECT k.image_id, k.pos, count(d.doc) AS n, min(d.pred_id) AS pred_id FROM keeps k JOIN docs d ON d.doc = k.doc AND (k.sha IS NULL OR k.sha = d.sha) AND (k.cid IS NULL OR k.cid = d.cid) AND (k.raw_index IS NULL OR k.raw_index = d.inst_id)
+    WHERE coalesce(k.sha, k.cid, k.raw_index::VARCHAR) IS NOT NULL GROUP BY ALL""",
+              "selected": """
+    SELECT k.*, h.pred_id, CASE WHEN k.doc = 'gone.json' THEN 'source_missing' WHEN sha IS NULL AND cid IS NULL AND raw_index IS NULL THEN 'no_selector' WHEN n IS NULL THEN 'no_match' WHEN n > 1 THEN 'ambiguous' END AS problem
+    FROM keeps k LEFT JOIN kept_hits h USING (image_id, pos)""",
+              **_adopting("""
+    SELECT s.image_id, s.pos AS request_id, row_number() OVER (PARTITION BY s.image_id ORDER BY s.pos) AS rn, d.type_label, concat_ws(':', s.doc, d.cid, d.sha) AS source, false AS had,
+      'authoritative' AS mode, px, bits, note FROM selected s JOIN docs d ON d.doc = s.doc AND d.pred_id = s.pred_id JOIN drawn w ON w.image_id = d.image_id AND w.inst_id = d.inst_id WHERE problem IS NULL""", 30),
+              "places": """
+    SELECT p.image_id, 'h' || (inst_id % 40) AS sha, 'c' || (inst_id % 7) AS cid, coalesce(s.top, 0) + row_number() OVER (PARTITION BY p.image_id ORDER BY area DESC, cx, cy, inst_id) AS place
+    FROM pred_m p LEFT JOIN (SELECT image_id, max(nr) AS top FROM numbered WHERE type_label = 'tidal_features' GROUP BY ALL) s USING (image_id) WHERE type_label = 'satellites'""",
+              "drops": """
+    SELECT *, coalesce((SELECT max(place) FROM places p WHERE p.image_id = e.image_id AND p.sha = e.sha), (SELECT max(place) FROM places p WHERE p.image_id = e.image_id AND p.cid = e.cid)) AS inst_id FROM (
+      SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY inst_id) - 1 AS pos, CASE WHEN inst_id % 2 = 0 THEN 'h' || (inst_id % 40) END AS sha, 'c' || (inst_id % 7) AS cid FROM pred WHERE inst_id % 5 < 2) e""",
+              "present": """
+    SELECT image_id, nr AS inst_id, type_label FROM numbered UNION ALL SELECT image_id, inst_id, 'satellites' FROM boxed WHERE outcome = 'adopted'""",
+              "erased": "SELECT DISTINCT image_id, d AS inst_id FROM log WHERE status = 'committed' AND d IS NOT NULL",
+              "tried": """
+    SELECT d.image_id, pos, d.inst_id, CASE WHEN d.inst_id IS NULL THEN 'unresolved' WHEN p.type_label IS NULL THEN CASE WHEN e.inst_id IS NOT NULL THEN 'already_deleted' ELSE 'missing' END
+        WHEN p.type_label <> 'satellites' THEN 'unsupported_type' WHEN row_number() OVER (PARTITION BY d.image_id, d.inst_id ORDER BY pos) > 1 THEN 'already_deleted' END AS error
+    FROM drops d LEFT JOIN present p USING (image_id, inst_id) LEFT JOIN erased e USING (image_id, inst_id)""",
+              "outcomes": """
+    SELECT s.image_id, 'force_keep' AS rule, s.pos, coalesce(problem, CASE WHEN outcome <> 'adopted' THEN outcome END) AS error, b.inst_id FROM selected s LEFT JOIN boxed b ON b.image_id = s.image_id AND b.request_id = s.pos
+    UNION ALL SELECT image_id, 'force_drop', pos, error, inst_id FROM tried"""}
+
+
+@query("r21_migrated_entries", "SELECT image_id, rule, pos::INT AS pos, error, inst_id FROM outcomes", ctes=_OVERRIDES)
+def _(t):
+    return _overrides(t).outcomes
+
+
+@query("r21_migrated_state", """
+    SELECT image_id, inst_id, type_label FROM present WHERE (image_id, inst_id) NOT IN (SELECT image_id, inst_id FROM tried WHERE error IS NULL)""", ctes=_OVERRIDES)
+def _(t):
+    return _overrides(t).instances.select("image_id", "inst_id", "type_label")
+
+
+@query("r21_migrated_summary", "SELECT rule, count(*) FILTER (error IS NULL) AS ok, count(*) FILTER (error IS NOT NULL) AS failed, 0::BIGINT AS skipped_dry_run FROM outcomes GROUP BY ALL", ctes=_OVERRIDES)
+def _(t):
+    return V.override_summary(_overrides(t).outcomes)
+
+
+@query("r21_dry_run", """
+    SELECT rule, 0::BIGINT AS ok, count(*) FILTER (bad) AS failed, count(*) FILTER (NOT bad) AS skipped_dry_run FROM (
+      SELECT 'force_keep' AS rule, doc = 'gone.json' AS bad FROM keeps UNION ALL SELECT 'force_drop', inst_id IS NULL FROM drops) GROUP BY ALL""", ctes=_OVERRIDES)
+def _(t):
+    return V.override_summary(_overrides(t, dry_run=True).outcomes, dry_run=True)

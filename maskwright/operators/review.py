@@ -396,79 +396,6 @@ def audit_fold(log: DataFrame) -> DataFrame:
 SOURCE = ("source_prediction_path", "source_candidate_id", "source_candidate_rle_sha1")
 
 
-def adopt(requests: DataFrame, instances: DataFrame, state: DataFrame, request_runs: DataFrame, log: DataFrame,
-          min_area: int = 30, id_limit: int = ID_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """Guarded adoption of raw candidates: verdict per request and the new runs.
-
-    ``requests``: image_id, request_id, type_label and the source triple; ``instances`` may carry
-    the source triple as provenance. A request is cut to free pixels; its id follows the largest
-    id in use or ever reserved, up to ``id_limit``. Requests of an image count in request order: only those that
-    were adopted take pixels, and a source triple adopted before makes a later one ``duplicate``.
-
-    A request waits for the earlier ones that share pixels or the triple with it. Each round settles
-    all requests that wait for none, so there are as many rounds as the longest chain has requests.
-    """
-    from maskwright.operators.match import pair_intersections
-    from maskwright.operators.numbering import number_rows
-    from maskwright.operators.runs import areas, difference_runs, union_runs
-
-    source = list(SOURCE)
-    key = ["image_id", "request_id"]
-    dup = instances.where("type_label = 'satellites'").where(" and ".join(f"{c} is not null" for c in source)).select("image_id", *source).distinct().withColumn("_dup", F.lit(True))
-    top = instances.groupBy("image_id").agg(F.max("inst_id").alias("_cur"))
-    res = audit_fold(log).select("image_id", F.col("max_reserved_id").alias("_res"))
-    base = requests.join(dup, ["image_id", *source], "left").join(top, "image_id", "left").join(res, "image_id", "left")
-    base = base.withColumn("_max", F.greatest(F.coalesce("_cur", F.lit(0)), F.coalesce("_res", F.lit(0))))
-    early = F.when(F.col("type_label") != "satellites", "unsupported_type").when(F.coalesce("_dup", F.lit(False)), "duplicate").when(F.col("_max") >= id_limit, "id_overflow")
-    base = cut(base.withColumn("_why", early).select(*key, *source, "_max", "_why"))
-    asked = base.where("_why is null")
-    ask = request_runs.join(asked.select(*key), key, "left_semi").withColumn("inst_id", F.col("request_id"))
-    free = cut(difference_runs(ask, union_runs(state)).select("image_id", "inst_id", "y", "x0", "x1"))
-    shared = pair_intersections(free, free, "_a", "_b").where("_a < _b").select("image_id", "_a", "_b")
-    one, two = asked.select("image_id", F.col("request_id").alias("_a"), *source), asked.select("image_id", F.col("request_id").alias("_b"), *source)
-    same = one.join(two, ["image_id", *source]).where("_a < _b").select("image_id", "_a", "_b", F.lit(True).alias("_same"))
-    waits = cut(shared.withColumn("_same", F.lit(False)).union(same).groupBy("image_id", "_a", "_b").agg(F.max("_same").alias("_same")))
-    settled, todo = None, asked.select(*key)
-    while not todo.isEmpty():
-        held = waits.join(todo.select("image_id", F.col("request_id").alias("_a")), ["image_id", "_a"], "left_semi")
-        ready = todo.join(held.select("image_id", F.col("_b").alias("request_id")), key, "left_anti")
-        left = free.join(ready.select("image_id", F.col("request_id").alias("inst_id")), ["image_id", "inst_id"], "left_semi")
-        again = ready.where("false").withColumn("_again", F.lit(True))
-        if settled is not None:
-            won = settled.where("_verdict = 'adopted'")
-            taken = free.join(won.select("image_id", F.col("request_id").alias("inst_id")), ["image_id", "inst_id"], "left_semi")
-            left = difference_runs(left, union_runs(taken)).select("image_id", "inst_id", "y", "x0", "x1")
-            before = waits.where("_same").join(won.select("image_id", F.col("request_id").alias("_a")), ["image_id", "_a"], "left_semi")
-            again = before.select("image_id", F.col("_b").alias("request_id")).distinct().withColumn("_again", F.lit(True))
-        size = areas(left).select("image_id", F.col("inst_id").alias("request_id"), F.col("area").alias("_area"))
-        area = F.coalesce("_area", F.lit(0))
-        verdict = F.when(F.col("_again"), "duplicate").when(area == 0, "empty_crop").when(area < min_area, "area_too_small").otherwise("adopted")
-        now = ready.join(size, key, "left").join(again, key, "left").select(*key, verdict.alias("_verdict"), area.alias("_area"))
-        settled = cut(now if settled is None else settled.union(now))
-        todo = cut(todo.join(settled, key, "left_anti"))
-    if settled is None:
-        settled = asked.select(*key, F.lit(None).cast("string").alias("_verdict"), F.lit(0).cast("long").alias("_area"))
-    out = base.join(settled, key, "left").withColumn("outcome", F.coalesce("_why", "_verdict")).withColumn(
-        "cropped_area_px", F.when(F.col("outcome").isin("empty_crop", "area_too_small", "adopted"), F.coalesce("_area", F.lit(0)).cast("long")))
-    given = number_rows(out.where("outcome = 'adopted'").select(*key, "_max"), ["image_id"], [F.col("request_id")], "_k")
-    given = given.select(*key, (F.col("_max") + F.col("_k")).alias("assigned_instance_id"))
-    over = F.col("assigned_instance_id") > id_limit
-    out = out.join(given, key, "left").withColumn("outcome", F.when(over, "id_overflow").otherwise(F.col("outcome"))).withColumn(
-        "assigned_instance_id", F.when(~over, F.col("assigned_instance_id")))
-    verdicts = out.select(*key, "outcome", "assigned_instance_id", "cropped_area_px")
-    won = verdicts.where("outcome = 'adopted'").select("image_id", F.col("request_id").alias("inst_id"), "assigned_instance_id")
-    new = cut_in_order(free.join(won, ["image_id", "inst_id"])).withColumn("inst_id", F.col("assigned_instance_id")).select("image_id", "inst_id", "y", "x0", "x1")
-    return verdicts, new
-
-
-def cut_in_order(runs: DataFrame) -> DataFrame:
-    """Runs of adopted requests, earlier requests keeping the pixels that several share."""
-    from maskwright.operators.runs import paint
-
-    ids = runs.select("image_id", "inst_id", "assigned_instance_id").distinct()
-    return paint(runs.select("image_id", "inst_id", "y", "x0", "x1"), -F.col("inst_id")).join(ids, ["image_id", "inst_id"])
-
-
 def log_entries(verdicts: DataFrame, operation: str, id_column: str) -> DataFrame:
     """Prepared and committed log rows of the requests that went through."""
     kind = {"assigned_instance_id": F.lit(None).cast("long"), "deleted_instance_id": F.lit(None).cast("long")}

@@ -7,7 +7,7 @@ from maskwright.catalog import load
 REGISTRY = load()
 SMALL = "/root/testdata/sf0.001"
 # One query per operator family here; ``python tests/oracle.py`` checks all of them.
-CHECKED = [n for n in REGISTRY if n.startswith(("e", "p", "d3", "d5", "d12", "a6", "a15", "a17", "a19", "a26", "m7", "m10", "m2_", "w1", "w2", "r1_", "r3", "r17", "r20", "x3"))]
+CHECKED = [n for n in REGISTRY if n.startswith(("e", "p", "d3", "d5", "d12", "a6", "a15", "a17", "a19", "a26", "m7", "m10", "m2_", "w1", "w2", "r1_", "r3", "r17", "r18", "r20", "r21", "x3"))]
 
 
 def test_names():

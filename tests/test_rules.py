@@ -134,7 +134,7 @@ def test_rasters(spark, tmp_path):
 def test_adopt_in_request_order(spark):
     """Runs 0-10, 5-13, 10-17 with at least 5 pixels: the second is too small after the first and takes
     nothing from the third. The same source twice: the second is a duplicate."""
-    from maskwright.operators import review as V
+    from maskwright.operators.replay import adopt
 
     source = "source_prediction_path string, source_candidate_id string, source_candidate_rle_sha1 string"
     requests = spark.createDataFrame(
@@ -147,12 +147,13 @@ def test_adopt_in_request_order(spark):
     instances = spark.createDataFrame([], "image_id long, inst_id long, type_label string, " + source)
     state = spark.createDataFrame([], "image_id long, inst_id long, y int, x0 int, x1 int")
     log = spark.createDataFrame([], "image_id long, status string, assigned_instance_id long, deleted_instance_id long")
-    verdicts, new = V.adopt(requests, instances, state, runs, log, min_area=5)
+    done = adopt(requests, instances, state, runs, log, min_area=5)
+    verdicts, new = done.verdicts, done.runs
     got = {(r.image_id, r.request_id): (r.outcome, r.assigned_instance_id, r.cropped_area_px) for r in verdicts.collect()}
     assert got == {(1, 1): ("adopted", 1, 10), (1, 2): ("area_too_small", None, 3), (1, 3): ("adopted", 2, 7),
                    (2, 1): ("adopted", 1, 9), (2, 2): ("duplicate", None, None), (2, 3): ("unsupported_type", None, None), (2, 4): ("empty_crop", None, 0)}
     assert sorted((r.image_id, r.inst_id, r.x0, r.x1) for r in new.collect()) == [(1, 1, 0, 10), (1, 2, 10, 17), (2, 1, 0, 9)]
-    over = {(r.image_id, r.request_id): r.outcome for r in V.adopt(requests, instances, state, runs, log, min_area=5, id_limit=1)[0].collect()}
+    over = {(r.image_id, r.request_id): r.outcome for r in adopt(requests, instances, state, runs, log, min_area=5, id_limit=1).verdicts.collect()}
     assert over[1, 1] == "adopted" and over[1, 3] == "id_overflow"
 
 
