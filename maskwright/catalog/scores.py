@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from maskwright.catalog import query
 from maskwright.catalog.matching import _UNIONS
-from maskwright.catalog.rules import CORE, GATE, PRIOR, RULES, trace
+from maskwright.catalog.rules import CFG, CORE, GATE, PRIOR, RULES, trace
 from maskwright.functions.policies import TAXONOMY, Taxonomy
 from maskwright.operators import match, runs as R, score, shape, tradeoff
 from maskwright.plans import post
@@ -156,6 +156,75 @@ def _(t):
     return gold_invariant(layers, totals)
 
 
+# The report in three ways: fresh, from stored layers, and from a post layer derived again from stored raw masks.
+
+_TRACED_ONE = _POST["post_one"].replace("FROM gated WHERE gate_reason LIKE 'pass%'", "FROM traced WHERE first_drop_stage IS NULL")
+_REPORT = {**_CTES, "kept_one": _TRACED_ONE, "kept_candidates": _POST["post_candidates"].replace("post_one", "kept_one"), "kept_blocks": _BLOCK.format(cands="kept_candidates")}
+_REPORT_SQL = """
+    SELECT b.*, n.num_gt AS num_gt_satellites, coalesce(r.n, 0) AS n_candidates, coalesce(k.n, 0) AS n_post_candidates
+    FROM (SELECT *, 'raw' AS layer FROM raw_blocks UNION ALL SELECT *, 'post_pred_only' FROM kept_blocks) b JOIN num_gt n USING (image_id)
+    LEFT JOIN (SELECT image_id, count(*) AS n FROM candidates GROUP BY ALL) r USING (image_id) LEFT JOIN (SELECT image_id, count(*) AS n FROM kept_candidates GROUP BY ALL) k USING (image_id)"""
+
+
+def _run(t, name):
+    import uuid
+
+    from maskwright.plans.stored import Run
+    from maskwright.session import ensure_checkpoint_dir
+
+    return Run(t.spark, f"{ensure_checkpoint_dir(t.spark)}/run-{name}-{uuid.uuid4().hex}")
+
+
+def _raw_layer(t):
+    from maskwright.plans.stored import RAW, stored_masks
+
+    return stored_masks(t.pred, t.pred_runs, RAW)
+
+
+@query("a9_report_fresh", _REPORT_SQL, doubles="precision recall f1", ctes=_REPORT)
+def _(t):
+    from maskwright.plans.stored import fresh_report
+
+    return fresh_report(t.pred_m, t.pred_runs, CFG, t.gt_runs, num_gt(t), ROI, SIDE, "tidal_features")
+
+
+@query("a9_report_stored", _REPORT_SQL, doubles="precision recall f1", ctes=_REPORT)
+def _(t):
+    from maskwright.plans.stored import POST, report_from_stored, stored_masks
+
+    run = _run(t, "stored")
+    run.save(_raw_layer(t), t.images, "raw")
+    kept, _ = post.post_pred_only(t.pred_m, t.pred_runs, CFG, SIDE, SIDE, stream_label="tidal_features")
+    left = t.pred.join(kept.select("image_id", "inst_id").distinct(), ["image_id", "inst_id"], "left_semi")
+    run.save(stored_masks(left, kept, POST), t.images, POST)
+    return report_from_stored(run, t.gt_runs, num_gt(t), ROI, SIDE)[0]
+
+
+@query("a9_report_post_from_raw", _REPORT_SQL, doubles="precision recall f1", ctes=_REPORT)
+def _(t):
+    """Raw masks of one run, post layer in another: once under another policy, then again under the one that counts."""
+    from dataclasses import replace
+
+    from maskwright.plans.stored import rebuild_post, report_from_stored
+
+    source, dest = _run(t, "source"), _run(t, "derived")
+    source.save(_raw_layer(t), t.images, "raw")
+    for cfg in (replace(CFG, core=None), CFG):
+        rebuild_post(source, dest, cfg, SIDE, "tidal_features")
+    return report_from_stored(dest, t.gt_runs, num_gt(t), ROI, SIDE)[0]
+
+
+@query("a9_stage_traces", """
+    SELECT image_id, count(*) AS n_raw_satellites, count(*) FILTER (first_drop_stage IS NULL) AS n_kept_post, count(*) FILTER (first_drop_stage IS NOT NULL) AS n_removed_post, true AS agrees FROM traced GROUP BY ALL""", ctes=RULES)
+def _(t):
+    from maskwright.plans.stored import rebuild_post, stage_traces
+
+    run = _run(t, "traced")
+    run.save(_raw_layer(t), t.images, "raw")
+    rebuild_post(run, run, CFG, SIDE, "tidal_features", allow_inplace=True)
+    return stage_traces(run, CFG, SIDE)
+
+
 @query("a10_detection_micro")
 def _(t):
     from maskwright.plans.report import stream_blocks
