@@ -56,7 +56,7 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, learned from the six sevenths that are not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = lm.score(docs, docs.where(fold("doc_id", 7) != 2))
+    out = lm.score(docs, fold("doc_id", 7) != 2)
     return out.withColumn("held_out", fold("doc_id", 7) == 2)
 
 
