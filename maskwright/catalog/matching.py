@@ -82,14 +82,50 @@ def _(t):
     return match.best_match_recall(_best(t), t.images)
 
 
-@query("e5_optimal_match")
+def optimal_ctes(edges: str) -> dict[str, str]:
+    """Optimal one-to-one pairs of ``edges`` (scope, image_id, pred_id, gt_id, iou): all choices of a component are tried."""
+    return {"scoped_edges": edges, "weighed": "SELECT *, floor(iou * 1073741824)::BIGINT * 1048576 + (gt_id % 65521) * (pred_id % 65521) % 4093 AS w FROM scoped_edges",
+            "both_ways": """
+    SELECT scope, image_id, 2 * gt_id AS a, 2 * pred_id + 1 AS b FROM weighed UNION ALL SELECT scope, image_id, 2 * pred_id + 1, 2 * gt_id FROM weighed""",
+            "reach": """
+    SELECT DISTINCT scope, image_id, a AS x, a AS y FROM both_ways
+    UNION SELECT r.scope, r.image_id, r.x, b.b FROM reach r JOIN both_ways b ON b.scope = r.scope AND b.image_id = r.image_id AND b.a = r.y""",
+            "component": "SELECT scope, image_id, x, min(y) AS comp FROM reach GROUP BY ALL",
+            "choices": """
+    SELECT scope, image_id, comp, dense_rank() OVER (PARTITION BY scope, image_id, comp ORDER BY gt_id) AS k, gt_id, pred_id, w FROM (
+      SELECT e.scope, e.image_id, comp, gt_id, pred_id, w FROM weighed e JOIN component c ON c.scope = e.scope AND c.image_id = e.image_id AND c.x = 2 * e.gt_id
+      UNION ALL SELECT DISTINCT e.scope, e.image_id, comp, gt_id, NULL::BIGINT, 0::BIGINT FROM weighed e JOIN component c ON c.scope = e.scope AND c.image_id = e.image_id AND c.x = 2 * e.gt_id)""",
+            "picks": """
+    SELECT DISTINCT scope, image_id, comp, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS total, []::STRUCT(g BIGINT, p BIGINT)[] AS chosen FROM choices
+    UNION ALL SELECT p.scope, p.image_id, p.comp, c.k, list_append(used, coalesce(c.pred_id, -1)), total + w, list_append(chosen, {'g': c.gt_id, 'p': c.pred_id})
+    FROM picks p JOIN choices c ON c.scope = p.scope AND c.image_id = p.image_id AND c.comp = p.comp AND c.k = p.k + 1 AND (c.pred_id IS NULL OR NOT list_contains(p.used, c.pred_id))""",
+            "optimal": """
+    SELECT scope, image_id, c.g AS gt_id, c.p AS pred_id FROM (SELECT scope, image_id, unnest(chosen) AS c FROM (
+      SELECT scope, image_id, comp, arg_max(chosen, total) AS chosen FROM (SELECT * FROM picks QUALIFY k = max(k) OVER (PARTITION BY scope, image_id, comp)) GROUP BY ALL)) WHERE c.p IS NOT NULL""",
+            "per_gt": """
+    SELECT g.scope, g.image_id, g.gt_id, g.gt_area, CASE WHEN e.iou >= 0.5::DOUBLE THEN e.pred_id END AS matched_pred_id, CASE WHEN e.iou >= 0.5::DOUBLE THEN e.iou END AS matched_iou,
+      CASE WHEN e.iou >= 0.5::DOUBLE THEN NULL ELSE coalesce(b.best, 0) END AS unmatched_iou, coalesce(e.iou >= 0.5::DOUBLE, false) AS detected
+    FROM scoped_gt g LEFT JOIN optimal o ON o.scope = g.scope AND o.image_id = g.image_id AND o.gt_id = g.gt_id
+    LEFT JOIN scoped_edges e ON e.scope = o.scope AND e.image_id = o.image_id AND e.gt_id = o.gt_id AND e.pred_id = o.pred_id
+    LEFT JOIN (SELECT scope, image_id, gt_id, max(iou) AS best FROM scoped_edges GROUP BY ALL) b ON b.scope = g.scope AND b.image_id = g.image_id AND b.gt_id = g.gt_id"""}
+
+
+_PER_GT = "SELECT image_id, gt_id, gt_area, matched_pred_id, matched_iou, unmatched_iou, detected FROM per_gt"
+
+
+@query("e5_optimal_match", _PER_GT, doubles="matched_iou unmatched_iou", ctes={
+    **optimal_ctes("SELECT 'all' AS scope, image_id, pred_id, gt_id, iou FROM sat_pairs"),
+    "scoped_gt": "SELECT 'all' AS scope, image_id, inst_id AS gt_id, area AS gt_area FROM gt_m WHERE type_label = 'satellites'"})
 def _(t):
     pairs = match.overlap_pairs(t.pred_of("satellites"), t.gt_of("satellites"))
     gt = R.areas(t.gt_of("satellites")).withColumnRenamed("area", "gt_area")
     return match.optimal_match(pairs, match.optimal_pairs(pairs), gt)
 
 
-@query("e6_optimal_match_rle")
+@query("e6_optimal_match_rle", """
+    SELECT * EXCLUDE (gt_id), row_number() OVER (PARTITION BY image_id ORDER BY gt_id) AS position FROM (""" + _PER_GT + ")", doubles="matched_iou unmatched_iou", ctes={
+        **optimal_ctes("SELECT 'all' AS scope, image_id, pred_id, gt_id, iou FROM pairs"),
+        "scoped_gt": "SELECT 'all' AS scope, image_id, inst_id AS gt_id, area AS gt_area FROM gt_m"})
 def _(t):
     """Overlapping instances with 1-based positions instead of ids."""
     from maskwright.operators.numbering import number_rows

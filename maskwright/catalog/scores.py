@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.catalog import query
-from maskwright.catalog.matching import _UNIONS
+from maskwright.catalog.matching import _UNIONS, optimal_ctes
 from maskwright.catalog.rules import CFG, CORE, GATE, PRIOR, RULES, trace
 from maskwright.functions.policies import TAXONOMY, Taxonomy
 from maskwright.operators import match, runs as R, score, shape, tradeoff
@@ -113,7 +113,35 @@ def _(t):
     return blocks(t, t.candidates)
 
 
-@query("a8_typed_blocks")
+def _detections(gt_in_roi: str) -> dict[str, str]:
+    """Detection blocks of streams in both scopes; ``gt_in_roi`` says which ground truths belong to the ROI."""
+    pred_in_roi = "cy >= 32 AND cy < 224 AND cx >= 32 AND cx < 224"
+    return {
+        **optimal_ctes("""
+    SELECT e.scope, e.image_id, e.pred_id, e.gt_id, iou FROM (SELECT *, unnest(['full_frame', 'roi']) AS scope FROM pairs WHERE pred_type = 'tidal_features' AND gt_type = 'tidal_features') e
+    JOIN scoped_pred p ON p.scope = e.scope AND p.image_id = e.image_id AND p.pred_id = e.pred_id JOIN scoped_gt g ON g.scope = e.scope AND g.image_id = e.image_id AND g.gt_id = e.gt_id"""),
+        "scoped_pred": f"SELECT scope, image_id, inst_id AS pred_id FROM (SELECT *, unnest(['full_frame', 'roi']) AS scope FROM pred_m WHERE type_label = 'tidal_features') WHERE scope = 'full_frame' OR ({pred_in_roi})",
+        "scoped_gt": f"SELECT scope, image_id, inst_id AS gt_id, area AS gt_area FROM (SELECT *, unnest(['full_frame', 'roi']) AS scope FROM gt_m WHERE type_label = 'tidal_features') m WHERE scope = 'full_frame' OR ({gt_in_roi})",
+        "detected": """
+    SELECT image_id, scope, coalesce(num_gt, 0) AS num_gt, coalesce(num_pred, 0) AS num_pred, coalesce(tp, 0) AS tp, coalesce(num_pred, 0) - coalesce(tp, 0) AS fp, coalesce(num_gt, 0) - coalesce(tp, 0) AS fn, matched_iou_mean, matched_iou_median
+    FROM (SELECT image_id, unnest(['full_frame', 'roi']) AS scope FROM images)
+    LEFT JOIN (SELECT image_id, scope, count(*) AS num_gt, count(*) FILTER (detected) AS tp, avg(matched_iou) AS matched_iou_mean, median(matched_iou) AS matched_iou_median FROM per_gt GROUP BY ALL) USING (image_id, scope)
+    LEFT JOIN (SELECT image_id, scope, count(*) AS num_pred FROM scoped_pred GROUP BY ALL) USING (image_id, scope)""",
+        "detection_blocks": """
+    SELECT image_id, scope, num_gt, num_pred, tp, fp, fn,
+      CASE WHEN num_gt = 0 AND num_pred = 0 THEN 1 WHEN num_gt = 0 THEN 0 WHEN num_pred = 0 THEN NULL ELSE tp::DOUBLE / num_pred END AS precision,
+      CASE WHEN num_gt = 0 AND num_pred = 0 THEN 1 WHEN num_gt = 0 THEN NULL WHEN num_pred = 0 THEN 0 ELSE tp::DOUBLE / num_gt END AS recall,
+      CASE WHEN num_gt = 0 AND num_pred = 0 THEN 1 WHEN num_gt = 0 OR num_pred = 0 THEN NULL WHEN tp = 0 THEN 0 ELSE 2 * (tp::DOUBLE / num_pred) * (tp::DOUBLE / num_gt) / (tp::DOUBLE / num_pred + tp::DOUBLE / num_gt) END AS f1,
+      matched_iou_mean, matched_iou_median, num_gt = 0 AND num_pred = 0 AS is_empty_trivial FROM detected"""}
+
+
+_BY_CENTROID = _detections("cy >= 32 AND cy < 224 AND cx >= 32 AND cx < 224")
+_ANY_PIXEL = _detections("EXISTS (SELECT 1 FROM gt_px x WHERE x.image_id = m.image_id AND x.inst_id = m.inst_id AND x.y >= 32 AND x.y < 224 AND x.x >= 32 AND x.x < 224)")
+
+
+@query("a8_typed_blocks", """
+    SELECT image_id, scope, 'satellites' AS type, num_gt, num_pred, precision, recall, f1 FROM raw_blocks
+    UNION ALL SELECT image_id, scope, 'streams', num_gt, num_pred, precision, recall, f1 FROM detection_blocks""", doubles="precision recall f1", ctes={**_CTES, **_BY_CENTROID})
 def _(t):
     """Satellite taxonomy blocks and stream detection blocks of both scopes as one long table."""
     from maskwright.plans.report import stream_blocks
@@ -123,14 +151,14 @@ def _(t):
     return sat.unionByName(st.select("image_id", "scope", F.lit("streams").alias("type"), "num_gt", "num_pred", "precision", "recall", "f1"))
 
 
-@query("a7_detection_block")
+@query("a7_detection_block", "SELECT * FROM detection_blocks", doubles="precision recall f1 matched_iou_mean matched_iou_median", ctes=_BY_CENTROID)
 def _(t):
     from maskwright.plans.report import stream_blocks
 
     return stream_blocks(t.pred_of("tidal_features"), t.gt_of("tidal_features"), t.images, ROI)
 
 
-@query("a7_detection_block_rle")
+@query("a7_detection_block_rle", "SELECT * FROM detection_blocks", doubles="precision recall f1 matched_iou_mean matched_iou_median", ctes=_ANY_PIXEL)
 def _(t):
     from maskwright.plans.report import stream_blocks
 
@@ -225,7 +253,12 @@ def _(t):
     return stage_traces(run, CFG, SIDE)
 
 
-@query("a10_detection_micro")
+@query("a10_detection_micro", """
+    SELECT scope, tp, fp, fn, tp::DOUBLE / (tp + fp) AS precision, tp::DOUBLE / (tp + fn) AS recall, 2 * (tp::DOUBLE / (tp + fp)) * (tp::DOUBLE / (tp + fn)) / (tp::DOUBLE / (tp + fp) + tp::DOUBLE / (tp + fn)) AS f1,
+      precision_mean, recall_mean, f1_mean, precision_samples, recall_samples, f1_samples, samples_total FROM (
+      SELECT scope, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, avg(precision) AS precision_mean, avg(recall) AS recall_mean, avg(f1) AS f1_mean,
+        count(precision) AS precision_samples, count(recall) AS recall_samples, count(f1) AS f1_samples, count(*) AS samples_total FROM detection_blocks GROUP BY scope)""",
+       doubles="precision recall f1 precision_mean recall_mean f1_mean", ctes=_BY_CENTROID)
 def _(t):
     from maskwright.plans.report import stream_blocks
 

@@ -354,15 +354,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _assign(weights: np.ndarray) -> np.ndarray:
-    """Column of each row in a maximum-weight assignment (rows <= columns), shortest paths."""
+    """Column of each row in a maximum-weight assignment (rows <= columns) of whole numbers, shortest paths."""
     n, m = weights.shape
     cost = weights.max() - weights
-    row_pot, col_pot = np.zeros(n + 1), np.zeros(m + 1)
+    row_pot, col_pot = np.zeros(n + 1, np.int64), np.zeros(m + 1, np.int64)
     owner = np.zeros(m + 1, dtype=int)
     for row in range(1, n + 1):
         owner[0] = row
         col = 0
-        slack = np.full(m + 1, np.inf)
+        slack = np.full(m + 1, 1 << 62)
         back = np.zeros(m + 1, dtype=int)
         done = np.zeros(m + 1, dtype=bool)
         while owner[col] != 0:
@@ -404,15 +404,15 @@ def _components_of(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Optimal pairs of the edges of one group, component by component."""
-    gt, pred, iou = (pdf[c].to_numpy() for c in ("gt_id", "pred_id", "iou"))
+    gt, pred, weight, iou = (pdf[c].to_numpy() for c in ("gt_id", "pred_id", "iou", "value"))
     labels = _components_of(gt, pred)
     out_g, out_p, out_w = [], [], []
     for lab in np.unique(labels):
         part = labels == lab
         gts, gi = np.unique(gt[part], return_inverse=True)
         preds, pi = np.unique(pred[part], return_inverse=True)
-        w = np.zeros((len(gts), len(preds)))
-        w[gi, pi] = iou[part]
+        w, value = np.zeros((len(gts), len(preds)), np.int64), np.zeros((len(gts), len(preds)))
+        w[gi, pi], value[gi, pi] = weight[part], iou[part]
         if min(w.shape) == 1:
             best = np.unravel_index(np.argmax(w), w.shape)
             g, p = np.array([best[0]]), np.array([best[1]])
@@ -424,7 +424,7 @@ def _assign_group(pdf: pd.DataFrame) -> pd.DataFrame:
         keep = w[g, p] > 0
         out_g.append(gts[g[keep]])
         out_p.append(preds[p[keep]])
-        out_w.append(w[g, p][keep])
+        out_w.append(value[g, p][keep])
     ids = np.concatenate(out_g)
     return pd.DataFrame({"image_id": np.full(len(ids), pdf["image_id"].iloc[0]), "gt_id": ids,
                          "pred_id": np.concatenate(out_p), "iou": np.concatenate(out_w)})
@@ -447,27 +447,34 @@ def _settled(edges: DataFrame) -> DataFrame:
     def runner_up(side: str, other: str, name: str) -> DataFrame:
         return two_best(edges, side, other).select(
             "image_id", side, F.col(f"best.{other}").alias(f"_o_{name}"),
-            F.coalesce("second_iou", F.lit(0.0)).alias(f"_w_{name}"))
+            F.coalesce("second_iou", F.lit(0)).alias(f"_w_{name}"))
 
     both = edges.join(runner_up("pred_id", "gt_id", "a"), ["image_id", "pred_id"]).join(
         runner_up("gt_id", "pred_id", "b"), ["image_id", "gt_id"])
-    return both.where("_o_a = gt_id AND _o_b = pred_id AND iou >= _w_a + _w_b").select(
-        "image_id", "gt_id", "pred_id", "iou")
+    return both.where("_o_a = gt_id AND _o_b = pred_id AND iou >= _w_a + _w_b").select(*edges.columns)
+
+
+def pair_weight(iou: Column, gt: Column, pred: Column) -> Column:
+    """IoU in whole units of 2^-30, then a number that follows from the ids, small enough that the sum over an
+    image's pairs (a label map has at most 255 ids) stays below one unit. So totals are compared exactly, and
+    equal ones are told apart in the same way everywhere."""
+    return F.floor(iou * F.lit(float(1 << 30))) * F.lit(1 << 20) + F.pmod(F.pmod(gt, F.lit(65_521)) * F.pmod(pred, F.lit(65_521)), F.lit(4093))
 
 
 def optimal_pairs(pairs: DataFrame) -> DataFrame:
-    """One-to-one pairs of largest total IoU per image (overlapping pairs only).
+    """One-to-one pairs of largest total ``pair_weight`` per image (overlapping pairs only).
 
     Certain pairs are settled by joins, round by round, until a round settles none; the hard core
-    that remains is solved exactly per connected component (see ``solve_groups``).
+    that remains is solved exactly per connected component (see ``solve_groups``), in whole numbers.
     """
-    edges = cut(pairs.select("image_id", "gt_id", "pred_id", "iou"))
+    weight = pair_weight(F.col("iou"), F.col("gt_id"), F.col("pred_id")).cast("long")
+    edges = cut(pairs.select("image_id", "gt_id", "pred_id", weight.alias("iou"), F.col("iou").alias("value")))
     fixed = edges.where("false")
     while True:
         sure = cut(_settled(edges))
         if sure.isEmpty():
             break
-        fixed = fixed.union(sure)
+        fixed = fixed.unionByName(sure)
         edges = edges.join(sure.select("image_id", "gt_id"), ["image_id", "gt_id"], "left_anti").join(
             sure.select("image_id", "pred_id"), ["image_id", "pred_id"], "left_anti"
         )
@@ -475,7 +482,7 @@ def optimal_pairs(pairs: DataFrame) -> DataFrame:
     solved = solve_groups(edges, "gt_id", "pred_id").groupBy("solve_key").applyInPandas(
         _assign_group, "image_id long, gt_id long, pred_id long, iou double"
     )
-    return fixed.select("image_id", "gt_id", "pred_id", "iou").union(solved)
+    return fixed.select("image_id", "gt_id", "pred_id", F.col("value").alias("iou")).unionByName(solved)
 
 
 def optimal_match(pairs: DataFrame, chosen: DataFrame, gt: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -239,15 +239,17 @@ def with_ctes(body: str, doubles: str = "", ctes: dict[str, str] | None = None)
     known = {**CTES, **(ctes or {})}
     order = list(known)
     need: set[str] = set()
+    sorted_: list[str] = []  # what a table reads stands before it
 
     def visit(text: str) -> None:
         for name in order:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 visit(known[name])
+                sorted_.append(name)
 
     visit(body)
-    head = ", ".join(f"{n} AS ({known[n]})" for n in order if n in need)
+    head = ", ".join(f"{n} AS ({known[n]})" for n in sorted_)
     if doubles:
         swap = ", ".join(f"round({c}, 9) + 0.0::DOUBLE AS {c}" for c in doubles.split())
         body = f"SELECT * REPLACE ({swap}) FROM ({body})"
