@@ -17,8 +17,9 @@ CENTROIDS = 4
 #: Labelled texts per language (expected number) that the centroids are fitted on.
 SAMPLE = 1000
 MAX_LANGUAGES = 1000
-#: A text is rejected when its cosine is below this share of a low quantile of those of its centroid's own texts.
-SLACK, LOW = 0.5, 0.05
+#: A text is rejected when its cosine is below this share of a low quantile of its language's, which is taken over
+#: one in ``APART`` of the drawn texts, which no centroid is fitted on.
+SLACK, LOW, APART = 0.5, 0.01, 4
 #: A text with k distinct n-grams reaches a cosine of about sqrt(k); from this k on, no more is expected.
 FULL_GRAMS = 200
 GROUP = 128
@@ -115,9 +116,8 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return out[:SLOTS], int(out[SLOTS])
 
 
-def cluster(x: np.ndarray, reached: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from spread-out seeds: unit centroids and, over each one's members, a low
-    quantile of the cosine for its reach (a few mislabelled texts do not move it)."""
+def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Unit centroids of spherical k-means from spread-out seeds."""
     seeds = [x.mean(axis=0)]
     nearest = np.full(len(x), -1.0)
     for _ in range(min(k, len(x)) - 1):
@@ -128,12 +128,12 @@ def cluster(x: np.ndarray, reached: np.ndarray, k: int, rounds: int = 12) -> tup
         c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
         own = np.argmax(x @ c.T, axis=1)
         c = np.stack([x[own == j].mean(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-    c /= np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
-    sims = x @ c.T
-    own = np.argmax(sims, axis=1)
-    sims /= reached[:, None]
-    low = np.array([np.quantile(sims[own == j, j], LOW) if (own == j).any() else 0.0 for j in range(len(c))])
-    return c, low
+    return c / np.maximum(np.linalg.norm(c, axis=1), 1e-12)[:, None]
+
+
+def low_cosine(x: np.ndarray, reached: np.ndarray, c: np.ndarray) -> float:
+    """Low quantile of the texts' best cosines for their reach; a few mislabelled texts do not move it."""
+    return float(np.quantile((x @ c.T).max(axis=1) / reached, LOW))
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS, sample: int = SAMPLE, slack: float = SLACK) -> Centroids:
@@ -158,8 +158,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CE
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = pa.RecordBatch.from_arrays([pa.array(sorted(pdf["__text"]), pa.string())], names=["t"])
         parts = [(vectors(c, idf), reach(c)) for _, c in _groups(texts, "t")]
-        c, low = cluster(np.concatenate([x for x, _ in parts]), np.concatenate([r for _, r in parts]), k)
-        return pd.DataFrame({"lang": [pdf["__lang"].iloc[0]] * len(c), "part": range(len(c)), "low": low.astype(float), "c": list(c.astype(np.float32))})
+        x, reached = np.concatenate([x for x, _ in parts]), np.concatenate([r for _, r in parts])
+        apart = np.arange(len(x)) % APART == APART - 1
+        if not apart.any():
+            apart[:] = True
+        c = cluster(x[~apart] if (~apart).any() else x, k)
+        low = low_cosine(x[apart], reached[apart], c)
+        return pd.DataFrame({"lang": [pdf["__lang"].iloc[0]] * len(c), "part": range(len(c)), "low": [low] * len(c), "c": list(c.astype(np.float32))})
 
     fitted = drawn.groupBy("__lang").applyInPandas(group, "lang string, part int, low double, c array<float>").collect()
     fitted.sort(key=lambda r: (r.lang, r.part))  # languages times k rows

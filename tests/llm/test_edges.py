@@ -204,8 +204,7 @@ def test_language_floor_ignores_a_mislabelled_text():
     x = np.zeros((200, 8), np.float32)
     x[:, 0] = 1
     x[7] = np.eye(8, dtype=np.float32)[5]
-    _, low = language.cluster(x, np.ones(200), 1)
-    assert low[0] > 0.9
+    assert language.low_cosine(x, np.ones(200), language.cluster(x, 1)) > 0.9
 
 
 def test_packing_round_trip(spark, docs):
@@ -395,6 +394,30 @@ def test_language_model_defined_results(spark, docs, empty):
     assert len({round(r.score, 6) for r in by_text[4]}) == 1
 
 
+def test_toxicity_without_positive_texts(spark, docs, empty):
+    """Labels without documents, only null texts, no texts: every text gets the prior."""
+    labels = spark.createDataFrame([(10_000 + i, 1, int(i < 3)) for i in range(10)], "doc_id bigint, quality int, toxic int")
+    for texts in (docs, docs.withColumn("text", F.lit(None).cast("string")), empty):
+        model = toxicity.fit(texts, labels)
+        scores = {round(r["__score"], 9) for r in toxicity.score(docs, model).collect()}
+        assert scores == {0.3}
+
+
+def test_many_secrets_in_one_text():
+    """Spans are merged in one walk, and as they would be one by one."""
+    rng = random.Random(4)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
+    text = " ".join(rng.choice([f"password={key}", key, "plain words", f"token: {key[:20]}"]) for _ in range(4000))
+    base, spans = secrets.scan_text(text)
+    extra = [s for s in spans if s[1] == 3]
+    assert extra and not any(a <= s[0] and s[2] <= b for s in extra[:200] for a, _, b in base)
+    allowed = re.compile("|".join(secrets.ALLOWED))
+    small = text[:20_000]
+    base, spans = secrets.scan_text(small)
+    want = [s for s in secrets.entropy_spans(small, secrets.CLASSES, allowed) if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    assert [s for s in spans if s[1] == 3] == want
+
+
 def test_toxicity_defined_results(spark, docs, empty):
     labels = spark.createDataFrame([(100 + i, 1, int(i % 3 == 0)) for i in range(40)] + [(None, 1, 1), (5, 0, None)], "doc_id bigint, quality int, toxic int")
     model = toxicity.fit(docs, labels)
