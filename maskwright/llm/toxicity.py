@@ -20,7 +20,7 @@ from maskwright.llm.common import U64, HashIndex, in_small_batches, lower_ascii,
 #: Bounds of the training sample (expected numbers of texts) and of its features.
 POSITIVES, UNLABELLED = 4000, 16_000
 CANDIDATES, FEATURES = 50_000, 2048
-LEAST_TEXTS, LEAST_SHARE = 5, 0.02
+LEAST_TEXTS = 5
 TELLING = 0.3
 #: Lengths of word beginnings, in bytes.
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -107,6 +107,8 @@ def _train(pdf: pd.DataFrame, prior: float, n: int) -> tuple[np.ndarray, np.ndar
     """Chosen features, their weights and the biases, from the texts' feature numbers."""
     pdf = pdf.sort_values(["positive", "draw"])
     positive = pdf["positive"].to_numpy(bool)
+    if positive.all() or not positive.any():
+        return np.zeros(0, np.int64), np.zeros((0, MEMBERS)), np.full(MEMBERS, np.log(prior / (1 - prior)))
     rows = np.repeat(np.arange(len(pdf)), pdf["found"].map(len))
     cols = np.concatenate([*pdf["found"], np.zeros(0)]).astype(np.int64)
     in_p = np.bincount(cols[positive[rows]], minlength=n) / max(positive.sum(), 1)
@@ -129,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     The prior is the share of toxic ones among all labelled rows. The sample is drawn by hashes: about
     ``POSITIVES`` toxic texts, about ``UNLABELLED`` of all texts; equal texts count once. Candidate
-    features stand in at least ``LEAST_TEXTS`` and ``LEAST_SHARE`` of the positives. Null when no text is labelled toxic.
+    features stand in at least ``LEAST_TEXTS`` different positives. Null when no row is labelled toxic. When no
+    toxic row has a text, or there are no texts at all, the model has no features and gives every text the prior.
     """
     labels = labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     n_pos, n_all = labels.agg(F.count_if(F.col("y") == 1), F.count(F.lit(1))).first()
@@ -156,8 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(n, pa.int64())], names=["h", "n"])
 
     counted = p.groupBy("text").agg(F.min("draw").alias("draw")).select("text").mapInArrow(count, "h bigint, n bigint")
-    least = max(LEAST_TEXTS, LEAST_SHARE * min(n_pos, POSITIVES))
-    often = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    often = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     hashes = np.array([r.h for r in often.orderBy(F.desc("n"), "h").limit(CANDIDATES).collect()], np.int64).view(U64)
     candidates = Model(hashes, np.zeros((len(hashes), 0)), np.zeros(0))
 
@@ -177,6 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     texts = sample.mapInArrow(sparse, "part int, positive boolean, draw double, found array<int>")
     fitted = texts.groupBy("part").applyInPandas(train, "feature int, w array<double>").collect()  # FEATURES + 1 rows
+    if not fitted:
+        return Model(hashes[:0], np.zeros((0, MEMBERS)), np.full(MEMBERS, np.log(prior / (1 - prior))))
     fitted.sort(key=lambda r: r.feature)
     order = [r.feature for r in fitted[1:]]
     return Model(hashes[order], np.array([r.w for r in fitted[1:]]).reshape(len(order), MEMBERS), np.array(fitted[0].w))
