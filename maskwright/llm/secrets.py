@@ -144,7 +144,13 @@ def scan_text(text: str, classes: tuple[CharClass, ...] = CLASSES, allowed: re.P
     """Base spans and all spans of a text. Entropy spans inside one base span are not repeated."""
     allowed = allowed or re.compile("|".join(ALLOWED))
     base = base_spans(text)
-    extra = [s for s in entropy_spans(text, classes, allowed) if not any(a <= s[0] and s[2] <= b for a, _, b in base)]
+    extra, at, reach = [], 0, -1  # both lists are in order of starts; ``reach`` is the furthest end of the base spans so far
+    for s in entropy_spans(text, classes, allowed):
+        while at < len(base) and base[at][0] <= s[0]:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach < s[2]:
+            extra.append(s)
     return base, sorted(base + extra)
 
 
