@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.catalog import query
-from maskwright.operators import match, runs as R, shape
+from maskwright.operators import match, runs as R, shape, tiles as B
 from maskwright.plans.fixtures import SIDE
 
 
@@ -29,8 +29,8 @@ def _(t):
 @query("m7_mask_union", """
     SELECT image_id, y, count(DISTINCT x) AS px FROM pred_px GROUP BY ALL""")
 def _(t):
-    u = R.union_runs(t.pred_runs)
-    return u.groupBy("image_id", F.col("y").cast("long").alias("y")).agg(F.sum(F.expr("cast(x1 - x0 as bigint)")).alias("px"))
+    u = B.tile_rows(t.pred_runs, ["image_id"])
+    return u.groupBy("image_id", F.col("y").cast("long").alias("y")).agg(F.sum(B.pixels(F.col("bits"))).alias("px"))
 
 
 @query("m7_merged_runs", """
@@ -160,7 +160,7 @@ def _(t):
        AND EXISTS (SELECT 1 FROM pred_px q WHERE q.image_id = p.image_id AND q.inst_id = p.inst_id AND q.y = p.y + 1 AND q.x = p.x))
     GROUP BY ALL""")
 def _(t):
-    return R.areas(R.boundary_inner(t.pred_runs)).withColumnRenamed("area", "boundary_px")
+    return B.bit_areas(B.inner_boundary(B.tile_rows(t.pred_runs)), name="boundary_px")
 
 
 # Dilated: any neighbour within 2 set. Eroded: every neighbour within 2 inside the frame set.
@@ -207,8 +207,18 @@ def _(t):
     SELECT p.image_id, p.inst_id, count(*) AS left_px FROM (SELECT * FROM pred_px WHERE type_label = 'satellites') p
     ANTI JOIN (SELECT * FROM pred_px WHERE type_label = 'tidal_features') s USING (image_id, y, x) GROUP BY ALL""")
 def _(t):
-    left = R.difference_runs(t.pred_of("satellites"), R.union_runs(t.pred_of("tidal_features")))
-    return R.areas(left).withColumnRenamed("area", "left_px")
+    left = B.without(B.tile_rows(t.pred_of("satellites")), B.tile_rows(t.pred_of("tidal_features"), ["image_id"]))
+    return B.bit_areas(left, name="left_px")
+
+
+@query("m24_trimmed_runs", """
+    SELECT image_id, inst_id, y::BIGINT AS y, min(x)::BIGINT AS x0, max(x)::BIGINT + 1 AS x1 FROM (
+      SELECT p.image_id, p.inst_id, p.y, p.x, x - row_number() OVER (PARTITION BY p.image_id, p.inst_id, p.y ORDER BY p.x) AS i, p.x // 64 AS tile FROM (SELECT * FROM pred_px WHERE type_label = 'satellites') p
+      ANTI JOIN (SELECT * FROM pred_px WHERE type_label = 'tidal_features') s USING (image_id, y, x)) GROUP BY image_id, inst_id, y, i, tile""")
+def _(t):
+    """The trimmed masks themselves, as runs cut at tile borders."""
+    left = B.without(B.tile_rows(t.pred_of("satellites")), B.tile_rows(t.pred_of("tidal_features"), ["image_id"]))
+    return B.runs_of(left).selectExpr("image_id", "inst_id", "cast(y as bigint) y", "cast(x0 as bigint) x0", "cast(x1 as bigint) x1")
 
 
 @query("g1_clean_mask", """

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maskwright.functions.policies import Taxonomy, in_roi
-from maskwright.operators.runs import areas, boundary_band, intersect_area, tile_runs, union_runs
+from maskwright.operators.runs import areas, boundary_band, tile_runs, union_runs
+from maskwright.operators.tiles import bit_areas, shared_bits, side_counts, tile_rows
 from maskwright.session import cut
 
 PAIR = ["image_id", "pred_id", "gt_id"]
@@ -58,31 +59,21 @@ def self_overlaps(runs: DataFrame) -> DataFrame:
 
 def binary_iou(a: DataFrame, b: DataFrame, images: DataFrame) -> DataFrame:
     """IoU of the unions of both sides per image; two empty sides give 1."""
-    ua, ub = union_runs(a), union_runs(b)
-    sa = areas(ua, ["image_id"]).withColumnRenamed("area", "pred_px")
-    sb = areas(ub, ["image_id"]).withColumnRenamed("area", "gt_px")
-    both = (
-        images.select("image_id").distinct()
-        .join(sa, "image_id", "left").join(sb, "image_id", "left")
-        .join(intersect_area(ua, ub), "image_id", "left").na.fill(0)
-    )
-    union = F.col("pred_px") + F.col("gt_px") - F.col("inter")
-    return both.withColumn("union_px", union).withColumn(
+    both, only_a, only_b = F.col("both"), F.col("only_a"), F.col("only_b")
+    counts = images.select("image_id").distinct().join(side_counts(a, b), "image_id", "left").na.fill(0)
+    union = both + only_a + only_b
+    sides = counts.select("image_id", (both + only_a).alias("pred_px"), (both + only_b).alias("gt_px"), both.alias("inter"), union.alias("union_px"))
+    union = F.col("union_px")
+    return sides.withColumn(
         "binary_iou", F.when(union == 0, F.lit(1.0)).otherwise(F.col("inter") / union)
     )
 
 
 def union_vs_instances(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """IoU of the union of all predictions with each ground-truth instance."""
-    up = union_runs(pred)
-    pp = areas(up, ["image_id"]).withColumnRenamed("area", "pred_px")
-    ga = areas(gt).withColumnRenamed("area", "gt_area")
-    at = ["image_id", "y", "tile"]
-    u = up.select(*at, F.col("x0").alias("_b0"), F.col("x1").alias("_b1"))
-    hit = tile_runs(gt).join(u, at).where("x0 < _b1 AND _b0 < x1")
-    inter = hit.groupBy("image_id", "inst_id").agg(
-        F.sum(F.expr("cast(least(x1, _b1) - greatest(x0, _b0) as bigint)")).alias("inter")
-    )
+    up, rows = tile_rows(pred, ["image_id"]), tile_rows(gt)
+    pp, ga = bit_areas(up, ["image_id"], "pred_px"), bit_areas(rows, name="gt_area")
+    inter = shared_bits(rows, up)
     out = ga.join(pp, "image_id", "left").join(inter, ["image_id", "inst_id"], "left").na.fill(0)
     return out.withColumnRenamed("inst_id", "gt_id").withColumn(
         "iou", F.col("inter") / (F.col("pred_px") + F.col("gt_area") - F.col("inter"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maskwright.functions.policies import MATCHED, TAXONOMY, UNMATCHED
 from maskwright.operators.numbering import running_sums
-from maskwright.operators.runs import areas, boundary_inner, intersect_area, union_runs
+from maskwright.operators.runs import areas, boundary_inner, union_runs
+from maskwright.operators.tiles import side_counts
 from maskwright.session import cut
 from maskwright.operators.quantiles import with_quantiles
 
@@ -23,17 +24,8 @@ def f1(p: Column, r: Column) -> Column:
 def pixel_counts(pred: DataFrame, gt: DataFrame, units: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """tp, fp, fn of the unions of both sides for every row of ``units``."""
     keys = list(keys)
-    up, ug = union_runs(pred, keys), union_runs(gt, keys)
-    out = (
-        units.select(*keys).distinct()
-        .join(areas(up, keys).withColumnRenamed("area", "_p"), keys, "left")
-        .join(areas(ug, keys).withColumnRenamed("area", "_g"), keys, "left")
-        .join(intersect_area(up, ug, keys), keys, "left").na.fill(0, ["_p", "_g", "inter"])
-    )
-    return out.select(
-        *keys, F.col("inter").alias("tp"), (F.col("_p") - F.col("inter")).alias("fp"),
-        (F.col("_g") - F.col("inter")).alias("fn"),
-    )
+    counts = side_counts(pred, gt, keys).withColumnsRenamed({"both": "tp", "only_a": "fp", "only_b": "fn"})
+    return units.select(*keys).distinct().join(counts, keys, "left").na.fill(0, ["tp", "fp", "fn"])
 
 
 def pixel_scores(counts: DataFrame) -> DataFrame:
