@@ -26,7 +26,7 @@ class Query:
 
 
 REGISTRY: dict[str, Query] = {}
-MODULES = ("masks", "matching", "rules", "scores", "data", "reviewing", "images", "skies")
+MODULES = ("masks", "matching", "rules", "scores", "data", "reviewing", "images", "skies", "files")
 
 
 def query(name: str, sql: str | None = None, doubles: str = "", ctes: dict[str, str] | None = None):

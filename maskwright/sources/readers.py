@@ -22,21 +22,22 @@ PREDICTION = T.StructType([
 ])
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+def read_predictions(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Candidates of prediction documents: ``{"predictions": [...]}`` or a bare list.
 
-    One row per prediction with ``file`` and its 0-based ``position``.
+    A file is one document, or with ``per_line`` (as ``write_documents`` leaves them) every line is one, so files may be
+    large and are split. One row per prediction with ``file`` and its 0-based ``position`` in the document.
     """
-    doc = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+    doc = spark.read.text(path, wholetext=not per_line).select(F.input_file_name().alias("file"), F.trim("value").alias("v")).where("v <> ''")
     whole = T.StructType([T.StructField("predictions", T.ArrayType(PREDICTION))])
     rows = F.when(F.col("v").startswith("["), F.from_json("v", T.ArrayType(PREDICTION), {"mode": "FAILFAST"})).otherwise(
         F.from_json("v", whole, {"mode": "FAILFAST"})["predictions"])
     return doc.select("file", F.posexplode(rows).alias("position", "p")).select("file", "position", "p.*")
 
 
-def read_list_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Rows of JSON documents that must be lists; another form fails the job."""
-    doc = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("v"))
+def read_list_documents(spark: SparkSession, path: str, schema: T.StructType, per_line: bool = False) -> DataFrame:
+    """Rows of JSON documents that must be lists, one a file or one a line; another form fails the job."""
+    doc = spark.read.text(path, wholetext=not per_line).select(F.input_file_name().alias("file"), F.trim("value").alias("v")).where("v <> ''")
     bad = F.raise_error(F.concat(F.lit("not a list: "), F.col("file"))).cast(T.ArrayType(schema))
     rows = F.when(F.col("v").startswith("["), F.from_json("v", T.ArrayType(schema), {"mode": "FAILFAST"})).otherwise(bad)
     return doc.select("file", F.explode(rows).alias("r")).select("file", "r.*")
@@ -56,11 +57,30 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file, line_no, value`` of text files: lines of a file are numbered from 1, whatever ranges it is read in.
+
+    A byte range is read in order by one task, so its lines have consecutive ids there; how many lines the earlier
+    ranges of the file hold is one aggregate over all lines, with one row per range.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("file", "_start").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy("file").orderBy("_start").rowsBetween(W.unboundedPreceding, -1)
+    offsets = blocks.select("file", "_start", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_off"))
+    return lines.join(offsets, ["file", "_start"]).select("file", (F.col("_at") + F.col("_off")).alias("line_no"), "value")
+
+
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """File and 1-based number of lines that are no JSON objects, for the error message."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "line"))
-    return whole.where("trim(line) <> ''").where(F.expr("try_parse_json(line) is null or schema_of_variant(try_parse_json(line)) not like 'OBJECT%'")).select(
-        "file", (F.col("pos") + 1).alias("line_no"))
+    bad = F.expr("try_parse_json(value) is null or schema_of_variant(try_parse_json(value)) not like 'OBJECT%'")
+    return numbered_lines(spark, path).where("trim(value) <> ''").where(bad).select("file", "line_no")
+
+
+def read_coco_lines(spark: SparkSession, path: str, image: T.StructType, annotation: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Images and annotations (with ``image_id``) of a COCO document cut into one line per image."""
+    schema = T.StructType([*image.fields, T.StructField("annotations", T.ArrayType(annotation))])
+    rows = read_jsonl(spark, path, schema)
+    return rows.drop("annotations"), rows.select(F.col("id").alias("image_id"), F.explode("annotations").alias("a")).select("image_id", "a.*")
 
 
 def flatten_catalogue(nested: DataFrame) -> DataFrame:

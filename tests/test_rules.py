@@ -131,6 +131,23 @@ def test_rasters(spark, tmp_path):
     assert got == {(1, 0, 1, 3), (2, 0, 3, 4), (2, 1, 0, 2), (1, 1, 3, 4)}
 
 
+def test_lines_are_numbered_over_byte_ranges(spark, tmp_path):
+    """Files cut into many ranges: numbers follow the file, blank lines count."""
+    for name, n in (("a.txt", 2000), ("b.txt", 3), ("c.txt", 0)):
+        (tmp_path / name).write_text("".join("\n" if k % 10 == 9 else f"line {k + 1} {'x' * (k % 50)}\n" for k in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        rows = S.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, n in (("a.txt", 2000), ("b.txt", 3)):
+        own = {r.line_no: r.value for r in rows if r.file.endswith(name)}
+        assert set(own) == set(range(1, n + 1))
+        assert all(v == "" if k % 10 == 0 else v.startswith(f"line {k} ") for k, v in own.items())
+
+
 def test_adopt_in_request_order(spark):
     """Runs 0-10, 5-13, 10-17 with at least 5 pixels: the second is too small after the first and takes
     nothing from the third. The same source twice: the second is a duplicate."""
