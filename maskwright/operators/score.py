@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maskwright.functions.policies import MATCHED, TAXONOMY, UNMATCHED
 from maskwright.operators.numbering import running_sums
-from maskwright.operators.runs import areas, boundary_inner, union_runs
-from maskwright.operators.tiles import side_counts
-from maskwright.session import cut
+from maskwright.operators.tiles import inner_boundary, side_counts, tile_rows
 from maskwright.operators.quantiles import with_quantiles
 
 FEATURES = ("purity", "completeness", "seed_gt_ratio", "annulus_excess", "radial_monotonicity")
@@ -38,75 +38,57 @@ def pixel_scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(a: DataFrame, b: DataFrame, radius: int, keys: list[str]) -> DataFrame:
-    """Squared distance of each point of ``a`` to its nearest point of ``b``, growing the search.
+def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distance of each point (y, x) of ``a`` to its nearest point of ``b`` (not empty).
 
-    A point is settled once its nearest hit is no farther than the radius searched; the others go
-    on with four times the radius, so the result is exact whatever the distance.
+    Rows of ``b`` are searched outwards from each point's own row, in each the nearest column on both sides, until
+    the row itself is further away than the best point so far.
     """
-    todo, done = a, None
-    while True:
-        cell = 2 * radius
-        left = todo.withColumn("_ty", F.expr(f"y div {cell}")).withColumn("_tx", F.expr(f"x div {cell}"))
-        right = b.select(
-            *keys, F.col("y").alias("_by"), F.col("x").alias("_bx"),
-            F.explode(F.expr(f"transform(sequence(-1, 1), d -> y div {cell} + d)")).alias("_ty"),
-        ).withColumn("_tx", F.explode(F.expr(f"transform(sequence(-1, 1), d -> _bx div {cell} + d)")))
-        dist = (F.col("y") - F.col("_by")) * (F.col("y") - F.col("_by")) + (F.col("x") - F.col("_bx")) * (F.col("x") - F.col("_bx"))
-        found = left.join(right, [*keys, "_ty", "_tx"]).groupBy(*keys, "y", "x").agg(F.min(dist).alias("d2"))
-        found = found.where(F.col("d2") <= radius * radius)
-        state = cut(todo.join(found, [*keys, "y", "x"], "left"))
-        hit = state.where("d2 is not null")
-        done = hit if done is None else done.union(hit)
-        todo = state.where("d2 is null").drop("d2")
-        if todo.isEmpty():
-            return done
-        radius *= 4
-
-
-def hausdorff95(pred: DataFrame, gt: DataFrame, images: DataFrame, height: int, width: int,
-                radius: int = 8) -> DataFrame:
+    wide = int(max(a[:, 1].max(initial=0), b[:, 1].max())) + 2
+    keys = np.unique(b[:, 0] * wide + b[:, 1])
+    best = np.full(len(a), np.iinfo(np.int64).max)
+    live, step = np.arange(len(a)), 0
+    low, high = int(b[:, 0].min()), int(b[:, 0].max())
+    while len(live):
+        for sign in (-1, 1)[: 2 if step else 1]:
+            row = a[live, 0] + sign * step
+            at = np.searchsorted(keys, row * wide + a[live, 1])
+            for side in (at - 1, at):
+                found = keys[np.clip(side, 0, len(keys) - 1)]
+                gap = found % wide - a[live, 1]
+                ok = found // wide == row
+                best[live[ok]] = np.minimum(best[live[ok]], step * step + gap[ok] * gap[ok])
+        step += 1
+        y = a[live, 0]
+        live = live[(step * step < best[live]) & ((y - step >= low) | (y + step <= high))]
+    return best
+
+
+def hausdorff95(pred: DataFrame, gt: DataFrame, images: DataFrame, height: int, width: int) -> DataFrame:
     """Larger of the two 95th percentiles of boundary distances per image.
 
-    NULL if both sides are empty, the frame diagonal if one is.
+    NULL if both sides are empty, the frame diagonal if one is. The boundaries of both unions reach an image's task as
+    64-bit tile rows, so it holds at most two bit sets of the frame and their points.
     """
     keys = ["image_id"]
-
-    def points(runs: DataFrame) -> DataFrame:
-        edge = boundary_inner(union_runs_merged(runs), keys)
-        return cut(edge.select("image_id", "y", F.explode(F.expr("sequence(x0, x1 - 1)")).alias("x")))
-
-    pb, gb = points(pred), points(gt)
-    has_p = pb.select("image_id").distinct().withColumn("_p", F.lit(1))
-    has_g = gb.select("image_id").distinct().withColumn("_g", F.lit(1))
-    both = has_p.join(has_g, "image_id").select("image_id")
-
-    def p95(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        near = _nearest(a.join(both, "image_id", "left_semi"), b.join(both, "image_id", "left_semi"), radius, keys)
-        # Distances take few distinct values: count them first, then interpolate.
-        hist = near.groupBy("image_id", "d2").agg(F.count(F.lit(1)).alias("n"))
-        return hist.groupBy("image_id").agg(
-            F.expr("percentile(sqrt(d2), 0.95D, n)").alias(name)
-        )
-
-    out = (
-        images.select("image_id").distinct().join(has_p, "image_id", "left").join(has_g, "image_id", "left")
-        .join(p95(pb, gb, "_a"), "image_id", "left").join(p95(gb, pb, "_b"), "image_id", "left")
-    )
+    edges = [inner_boundary(tile_rows(runs, keys), keys).withColumn("side", F.lit(k)) for k, runs in enumerate((pred, gt))]
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def percentiles(table: pa.Table) -> pa.Table:
+        side, y, tile = (table.column(c).to_numpy().astype(np.int64) for c in ("side", "y", "tile"))
+        bits = np.unpackbits(table.column("bits").to_numpy().astype("<i8").view(np.uint8), bitorder="little").reshape(-1, 64)
+        row, k = np.nonzero(bits)
+        points = np.stack([y[row], tile[row] * 64 + k], axis=1)
+        sides = [points[side[row] == s] for s in (0, 1)]
+        d = None
+        if len(sides[0]) and len(sides[1]):
+            d = max(float(np.percentile(np.sqrt(squared_distances(u, v).astype(float)), 95)) for u, v in (sides, sides[::-1]))
+        return pa.table({"image_id": table.column("image_id").slice(0, 1), "_d": pa.array([d], pa.float64())})
+
+    far = edges[0].unionByName(edges[1]).groupBy(*keys).applyInArrow(percentiles, f"image_id {kind}, _d double")
+    out = images.select("image_id").distinct().join(far.withColumn("_any", F.lit(True)), "image_id", "left")
     diagonal = float((height * height + width * width) ** 0.5)
-    return out.select(
-        "image_id",
-        F.when(F.col("_p").isNull() & F.col("_g").isNull(), F.lit(None).cast("double"))
-        .when(F.col("_p").isNull() | F.col("_g").isNull(), F.lit(diagonal))
-        .otherwise(F.greatest("_a", "_b")).alias("capped_hausdorff95"),
-    )
-
-
-def union_runs_merged(runs: DataFrame) -> DataFrame:
-    """Union per image with tile cuts joined again."""
-    from maskwright.operators.runs import merge_tiles
-
-    return merge_tiles(union_runs(runs).drop("tile"), ["image_id"])
+    return out.select("image_id", F.when(F.col("_any"), F.coalesce("_d", F.lit(diagonal))).alias("capped_hausdorff95"))
 
 
 # -- blocks ---------------------------------------------------------------------------

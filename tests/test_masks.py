@@ -169,7 +169,7 @@ def test_moments_hull(data):
 def test_hausdorff(spark, data):
     a, b, ra, rb = data
     images = spark.createDataFrame([(0,), (1,), (2,), (9,)], "image_id long")
-    got = {r.image_id: r.capped_hausdorff95 for r in score.hausdorff95(ra.where("image_id <> 2"), rb, images, H, W, radius=2).collect()}
+    got = {r.image_id: r.capped_hausdorff95 for r in score.hausdorff95(ra.where("image_id <> 2"), rb, images, H, W).collect()}
     assert got[9] is None and got[2] == pytest.approx(np.hypot(H, W))
     for i in (0, 1):
         def edge(group, n):
@@ -182,6 +182,15 @@ def test_hausdorff(spark, data):
         assert got[i] == pytest.approx(max(np.percentile(d.min(1), 95), np.percentile(d.min(0), 95)))
 
 
+def test_squared_distances():
+    """Far and one-sided point sets, single rows and columns."""
+    rng = np.random.default_rng(7)
+    for n, m, ya, yb in ((50, 1, (0, 5), (400, 401)), (40, 60, (0, 90), (0, 90)), (30, 30, (300, 310), (0, 4)), (1, 80, (50, 51), (0, 200))):
+        a = np.stack([rng.integers(*ya, n), rng.integers(0, 300, n)], axis=1)
+        b = np.stack([rng.integers(*yb, m), rng.integers(0, 120, m)], axis=1)
+        assert (score.squared_distances(a, b) == ((a[:, None] - b[None]) ** 2).sum(-1).min(1)).all()
+
+
 def test_optimal_pairs_exact(spark):
     rng = np.random.default_rng(5)
     rows = []
