@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from maskwright.operators.quantiles import exact_quantiles
-from maskwright.session import cut
 
 
 def reject_candidates(raw: DataFrame, post: DataFrame, pairs: DataFrame, max_iou: float = 0.3) -> DataFrame:
