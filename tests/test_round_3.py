@@ -15,3 +15,12 @@ def test_ids_of_six_digits_are_no_problem(spark, tmp_path):
     orders = spark.read.parquet(f"{SMALL}/orders.parquet").limit(50)
     table(spark, str(tmp_path), "orders", orders.withColumn("o_custkey", F.lit(654_321).cast("long")).withColumn("o_orderpriority", F.lit("2-HIGH")))
     assert load()["d11_view_problems"].run(spark, str(tmp_path)).isEmpty()
+
+
+def test_centroids_are_rounded_as_in_sql(spark, oracle_db):
+    """0.575 has the double 0.57499...: SQL's round gives 0.57, the decimal text 0.58, 12 px from 12.58 or not."""
+    from maskwright.catalog.matching import centroid_cents
+
+    want = oracle_db.execute("SELECT s::DOUBLE / 40 AS v, round(s::DOUBLE / 40, 2) AS r FROM range(1, 9600) t(s)").fetchall()
+    got = spark.createDataFrame(want, "v double, r double").select((centroid_cents("v") == F.col("r")).alias("ok"))
+    assert got.where("NOT ok").isEmpty()
