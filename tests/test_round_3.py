@@ -24,3 +24,11 @@ def test_centroids_are_rounded_as_in_sql(spark, oracle_db):
     want = oracle_db.execute("SELECT s::DOUBLE / 40 AS v, round(s::DOUBLE / 40, 2) AS r FROM range(1, 9600) t(s)").fetchall()
     got = spark.createDataFrame(want, "v double, r double").select((centroid_cents("v") == F.col("r")).alias("ok"))
     assert got.where("NOT ok").isEmpty()
+
+
+def test_tasks_grow_with_the_table_and_shrink_again(spark):
+    from maskwright.session import size_shuffles
+
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    assert size_shuffles(spark, 10_000_000, 50_000) == 200 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size_shuffles(spark, 10, 50_000) == int(given) == int(spark.conf.get("spark.sql.shuffle.partitions"))
