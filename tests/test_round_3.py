@@ -32,3 +32,54 @@ def test_tasks_grow_with_the_table_and_shrink_again(spark):
     given = spark.conf.get("spark.sql.shuffle.partitions")
     assert size_shuffles(spark, 10_000_000, 50_000) == 200 == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert size_shuffles(spark, 10, 50_000) == int(given) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ragged(spark):
+    """Masks with gaps, over several blocks, below zero and touching block borders."""
+    import numpy as np
+
+    rng, rows = np.random.default_rng(3), []
+    for inst in range(12):
+        top, left = int(rng.integers(-10, 60)), int(rng.integers(0, 120))
+        for y in range(top, top + int(rng.integers(1, 45))):
+            if rng.random() < 0.8:
+                x0 = left + int(rng.integers(0, 6))
+                rows.append((inst % 2, inst, y, x0, x0 + int(rng.integers(1, 90))))
+    return rows, spark.createDataFrame(rows, "image_id long, inst_id long, y int, x0 int, x1 int")
+
+
+def test_overlaps_of_packed_masks_equal_pixel_sets(spark):
+    from maskwright.operators import match
+
+    rows, df = ragged(spark)
+    px = {}
+    for image, inst, y, x0, x1 in rows:
+        px.setdefault((image, inst), set()).update((y, x) for x in range(x0, x1))
+    want = {(i, a, b): (len(p & q), len(p), len(q)) for (i, a), p in px.items() for (j, b), q in px.items() if i == j and p & q}
+    got = {(r.image_id, r.pred_id, r.gt_id): (r.inter, r.pred_area, r.gt_area) for r in match.overlap_pairs(df, df).collect()}
+    assert got == want and len(want) > 12
+    some = {(r.image_id, r.id_a, r.id_b): r.inter for r in match.self_overlaps(df).collect()}
+    assert some == {k: v[0] for k, v in want.items() if k[1] < k[2]}
+
+
+def test_a_mask_travels_as_blocks_not_runs(spark):
+    from maskwright.operators.tiles import mask_blocks
+
+    box = spark.range(64).selectExpr("1L image_id", "1L inst_id", "cast(id as int) y", "3 x0", "40 x1")
+    assert mask_blocks(box).count() == 2  # 64 runs
+
+
+def test_curve_counts_are_taken_once(spark, tmp_path):
+    """The candidates are read by one job, not again for range bounds and totals."""
+    from maskwright.operators import score
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    scored = spark.range(100).selectExpr("id % 7 / 10D as score", "id % 3 = 0 as is_tp").coalesce(1)
+    points = score.pr_points(scored.mapInArrow(look, scored.schema), spark.sql("SELECT 40L AS num_gt"))
+    assert score.pr_curve(points).count() == 9 and seen.value == 100
