@@ -83,3 +83,14 @@ def test_curve_counts_are_taken_once(spark, tmp_path):
     scored = spark.range(100).selectExpr("id % 7 / 10D as score", "id % 3 = 0 as is_tp").coalesce(1)
     points = score.pr_points(scored.mapInArrow(look, scored.schema), spark.sql("SELECT 40L AS num_gt"))
     assert score.pr_curve(points).count() == 9 and seen.value == 100
+
+
+def test_pixels_are_not_shuffled(spark):
+    """Between the exchange and the pixels stands no other exchange: runs travel, not pixels."""
+    from maskwright.catalog.images import pixels
+    from maskwright.plans.fixtures import Tables
+
+    px = pixels(Tables(spark, SMALL))
+    plan = px._jdf.queryExecution().executedPlan().toString()
+    top = plan[:plan.index("Exchange")]
+    assert "Generate explode(sequence(x0" in top, plan
