@@ -94,3 +94,42 @@ def test_pixels_are_not_shuffled(spark):
     plan = px._jdf.queryExecution().executedPlan().toString()
     top = plan[:plan.index("Exchange")]
     assert "Generate explode(sequence(x0" in top, plan
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return {line.split("Exchange ")[1].split(", [plan_id")[0] for line in plan.splitlines() if "Exchange " in line and "Reused" not in line}
+
+
+def test_boxes_are_all_that_candidates_shuffle(spark):
+    """Matching reads boxes that lie by image, so its joins and aggregations move nothing."""
+    from maskwright.plans.fixtures import Tables
+
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = exchanges(Tables(spark, SMALL).candidates)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+    assert len(moved) == 1 and "REPARTITION_BY_NUM" in moved.pop()
+
+
+def test_a_crowded_image_is_spread_and_gives_the_same(spark, tmp_path, monkeypatch):
+    from maskwright.plans import fixtures
+
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    table(spark, str(tmp_path), "lineitem", lines.withColumn("l_partkey", F.expr("l_partkey % 3")))
+    cols = ["image_id", "pred_id", "gt_id", "inter", "pred_area", "gt_area"]
+
+    def rows():
+        t = fixtures.Tables(spark, str(tmp_path))
+        return sorted(map(tuple, t.sat_pairs.select(*cols).collect())), exchanges(t.boxes)
+
+    spread, moved = rows()
+    assert any("inst_id" in m for m in moved) or fixtures.CROWDED >= lines.count() // 3
+    monkeypatch.setattr(fixtures, "CROWDED", 10)
+    one, moved = rows()
+    assert any("inst_id" in m for m in moved)
+    monkeypatch.setattr(fixtures, "CROWDED", 10**9)
+    two, moved = rows()
+    assert one == two == spread and not any("inst_id" in m for m in moved)
