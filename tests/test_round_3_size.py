@@ -28,7 +28,7 @@ def _run(spark, name, sf_dir="/root/testdata/sf0.001"):
     return [s for k, s in _stages(spark).items() if k not in before and s.numCompleteTasks()]
 
 
-@pytest.mark.parametrize("name, limit", [("e10_exhaustivity", 2500), ("a15_average_precision", 1500)])
+@pytest.mark.parametrize("name, limit", [("e10_exhaustivity", 2500), ("a15_average_precision", 1000), ("a9_report_stored", 2500)])
 def test_memory_of_one_task(spark, name, limit):
     """Each sort and hash table takes a page of up to 64 MB, however little it holds: branches share what they have in common."""
     assert max(s.peakExecutionMemory() / s.numCompleteTasks() for s in _run(spark, name)) < limit * MB
