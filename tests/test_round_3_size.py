@@ -32,3 +32,20 @@ def _run(spark, name, sf_dir="/root/testdata/sf0.001"):
 def test_memory_of_one_task(spark, name, limit):
     """Each sort and hash table takes a page of up to 64 MB, however little it holds: branches share what they have in common."""
     assert max(s.peakExecutionMemory() / s.numCompleteTasks() for s in _run(spark, name)) < limit * MB
+
+
+def test_frames_are_joined_by_name(spark):
+    """The join of masks with the rows of their frames sorts names of strips; their pixels come after it."""
+    from maskwright.catalog.images import contents, strips
+    from maskwright.plans.fixtures import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert set(strips(t).columns) == {"image_id", "y", "strip"}
+    row = strips(t).where("y = 77").join(contents(t), "strip").selectExpr("image_id", "y", "values").first()
+    assert list(row["values"]) == [(x * 7 + row["y"] * 13 + row["image_id"]) % 150 for x in range(256)]
+
+
+def test_replacing_instances_moves_no_runs(spark):
+    """Boxes are shuffled by image; the difference of masks that lie there moves nothing more."""
+    wide = [s for s in _run(spark, "r16_replace_instance") if s.shuffleWriteRecords() > 0]
+    assert sum(s.shuffleWriteRecords() for s in wide) < 2 * 6_100
