@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.catalog import query
-from maskwright.operators import regions as G, runs as R, tradeoff
+from maskwright.operators import regions as G, runs as R, tiles as B, tradeoff
 from maskwright.plans.fixtures import SIDE
 from maskwright.sources import readers as S
 
@@ -37,7 +37,7 @@ _RASTER = {"ras": """
 
 @query("m17_rasterize_shapes", "SELECT image_id, inst_id, count(DISTINCT (y, x)) AS area FROM ras GROUP BY ALL", ctes=_RASTER)
 def _(t):
-    return R.areas(G.rasterize_shapes(shapes(t), SIDE, SIDE))
+    return B.bit_areas(G.raster_rows(shapes(t), SIDE, SIDE))
 
 
 @query("m18_bind_classes", """

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from maskwright.functions.policies import literal_map
 from maskwright.operators.numbering import number_rows
-from maskwright.operators.runs import areas, bboxes, paint, runs_of_pixels, union_runs
+from maskwright.operators.runs import areas, bboxes, merge_tiles, paint, union_runs
+from maskwright.operators.tiles import runs_of, tile_rows
 
 # Surveys used, cutout size, class ids and bindings, catalogue fields.
 SURVEYS = ("MATLAS", "CFIS,MATLAS")
@@ -40,12 +41,13 @@ def radec_to_pixel(points: DataFrame) -> DataFrame:
         "py", F.expr("(cd11 * _eta - cd21 * _xi) / _det + crpix2 - 1")).drop("_xi", "_eta", "_det")
 
 
-def rasterize_shapes(shapes: DataFrame, height: int, width: int, thickness: int = 3) -> DataFrame:
-    """Runs of shapes: filled polygons with their outline, open lines of some thickness.
+def raster_rows(shapes: DataFrame, height: int, width: int, thickness: int = 3) -> DataFrame:
+    """Tile rows of shapes: filled polygons with their outline, open lines of some thickness.
 
     ``shapes``: image_id, inst_id, kind (polygon or line), verts ARRAY<STRUCT<x, y>> in pixels.
     Coordinates are truncated. Everything stays per edge and scan line; the crossings collected for
-    one line of one polygon are at most its number of edges.
+    one line of one polygon are at most its number of edges. Outline and inside meet in one ``bit_or``: nothing
+    is sorted by pixel.
     """
     key = ["image_id", "inst_id"]
     ints = shapes.withColumn("v", F.expr("transform(verts, p -> struct(cast(p.x as int) as x, cast(p.y as int) as y))"))
@@ -57,18 +59,22 @@ def rasterize_shapes(shapes: DataFrame, height: int, width: int, thickness: int
     dots = walk.select(*key, "kind", F.expr("cast(round(ax + case when n = 0 then 0 else k * (bx - ax) / n end) as int) as x"),
                        F.expr("cast(round(ay + case when n = 0 then 0 else k * (by_ - ay) / n end) as int) as y"))
     lo, hi = -((thickness - 1) // 2), thickness // 2
-    grow = f"case when kind = 'line' then sequence({lo}, {hi}) else array(0) end"
-    thick = dots.withColumn("dy", F.explode(F.expr(grow))).withColumn("dx", F.explode(F.expr(grow))).selectExpr(*key, "y + dy as y", "x + dx as x")
-    seen = thick.where(f"y BETWEEN 0 AND {height - 1} AND x BETWEEN 0 AND {width - 1}")
-    outline = runs_of_pixels(seen, key, height, width)
+    line = "kind = 'line'"
+    thick = dots.withColumn("dy", F.explode(F.expr(f"case when {line} then sequence({lo}, {hi}) else array(0) end")))
+    outline = thick.select(*key, F.expr("y + dy as y"), F.expr(f"greatest(0, x + case when {line} then {lo} else 0 end) as x0"),
+                           F.expr(f"least({width}, x + 1 + case when {line} then {hi} else 0 end) as x1")).where(f"y BETWEEN 0 AND {height - 1} AND x0 < x1")
     cross = edge.where("kind = 'polygon' and ay <> by_").select(*key, "ax", "ay", "bx", "by_", F.explode(F.expr("sequence(least(ay, by_), greatest(ay, by_) - 1)")).alias("y"))
     cross = cross.select(*key, "y", F.expr("ax + (y - ay) * (bx - ax) / (by_ - ay)").alias("cx")).where(f"y BETWEEN 0 AND {height - 1}")
     lines = cross.groupBy(*key, "y").agg(F.array_sort(F.collect_list("cx")).alias("c"))
     pairs = lines.select(*key, "y", "c", F.explode(F.expr("sequence(0, size(c) div 2 - 1)")).alias("j"))
     inner = pairs.select(*key, "y", F.expr("cast(greatest(0, ceil(c[2 * j])) as int) as x0"), F.expr(f"cast(least({width}, floor(c[2 * j + 1]) + 1) as int) as x1")).where("x0 < x1")
-    from maskwright.operators.runs import merge_tiles
+    return tile_rows(inner.unionByName(outline.select(*inner.columns)), key)
+
 
-    return merge_tiles(union_runs(inner.unionByName(outline.select(*inner.columns)), key).drop("tile"), key)
+def rasterize_shapes(shapes: DataFrame, height: int, width: int, thickness: int = 3) -> DataFrame:
+    """Runs of the shapes of ``raster_rows``, not cut at tile borders."""
+    key = ["image_id", "inst_id"]
+    return merge_tiles(runs_of(raster_rows(shapes, height, width, thickness), key).drop("tile"), key)
 
 
 def bind_classes(runs: DataFrame, shapes: DataFrame, binding: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -71,3 +71,22 @@ def test_clean_masks_are_worked_on_by_batches(spark, eight):
     assert len(got) == len(images) > 50
     plan = cleaned._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan  # a call of Python for every mask
+
+
+def test_shapes_are_drawn_without_sorting_pixels(spark):
+    """Outlines, insides and thick lines cut by the frame; the tasks of m17 held a sort and a window per pixel."""
+    from maskwright.catalog import load
+    from maskwright.operators import regions as G
+
+    box = [(-2.0, 1.0), (4.0, 1.0), (4.0, 3.0), (-2.0, 3.0)]
+    rows = [(1, 1, "polygon", box), (1, 2, "line", [(5.0, 0.0), (5.0, 2.0)]), (1, 3, "line", [(69.0, 7.0), (60.0, 7.0)]), (1, 4, "line", [(90.0, 9.0), (95.0, 9.0)])]
+    df = spark.createDataFrame(rows, "image_id long, inst_id long, kind string, verts array<struct<x: double, y: double>>")
+    got = {}
+    runs = G.rasterize_shapes(df, 8, 70).collect()
+    for r in runs:
+        got.setdefault(r.inst_id, set()).update((r.y, x) for x in range(r.x0, r.x1))
+    assert got == {1: {(y, x) for y in (1, 2, 3) for x in range(5)}, 2: {(y, x) for y in range(4) for x in (4, 5, 6)},
+                   3: {(y, x) for y in (6, 7) for x in range(59, 70)}}
+    assert len(runs) == 3 + 4 + 2  # joined at tile borders
+    plan = load()["m17_rasterize_shapes"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
