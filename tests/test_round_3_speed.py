@@ -90,3 +90,16 @@ def test_shapes_are_drawn_without_sorting_pixels(spark):
     assert len(runs) == 3 + 4 + 2  # joined at tile borders
     plan = load()["m17_rasterize_shapes"].run(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_instances_are_drawn_once_beside_the_union(spark):
+    """IoU with the union, also where nothing is shared or predicted; one aggregation by instance, not two that are joined."""
+    from maskwright.operators import match
+
+    schema = "image_id long, inst_id long, y int, x0 int, x1 int"
+    gt = spark.createDataFrame([(1, 1, 0, 60, 70), (1, 1, 1, 60, 70), (1, 2, 9, 0, 5), (2, 1, 0, 0, 3)], schema)
+    pred = spark.createDataFrame([(1, 7, 0, 62, 66), (1, 8, 0, 64, 80), (3, 1, 0, 0, 9)], schema)
+    out = match.union_vs_instances(pred, gt)
+    assert sorted((r.image_id, r.gt_id, r.gt_area, r.pred_px, r.inter, r.iou) for r in out.collect()) == [
+        (1, 1, 20, 18, 8, 8 / 30), (1, 2, 5, 18, 0, 0.0), (2, 1, 3, 0, 0, 0.0)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2
