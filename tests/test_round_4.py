@@ -40,3 +40,35 @@ def test_pixels_of_crowded_images(spark):
         finally:
             fixtures.CROWDED = given
     assert found[0] == found[1] and len(found[0]) > 1000
+
+
+@pytest.mark.parametrize("name", ["g7_aspect_boundary", "s4_prediction_documents", "m10_paint_stream_first"])
+def test_masks_and_their_numbers_stay_with_their_image(spark, name):
+    assert _moved(spark, name) < 2 * 6_100
+
+
+def test_numbers_in_place_are_the_numbers_by_ranges(spark):
+    """A group without a name, groups of one, an order that falls, and the setting as crowded images have it."""
+    from maskwright.operators.numbering import number_rows
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    given, found = spark.conf.get(key), []
+    df = spark.createDataFrame([(i % 3 if i % 5 else None, "ab"[i % 2], i) for i in range(40)], "image_id long, kind string, o long")
+    for way in ("true", "false"):
+        spark.conf.set(key, way)
+        try:
+            found.append(sorted(map(str, number_rows(df, ["image_id", "kind"], [F.desc("o")], "n", start=0).select("image_id", "kind", "o", "n").collect())))
+        finally:
+            spark.conf.set(key, given)
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
+def test_rows_of_a_fold_come_together_and_in_order(spark):
+    from maskwright.operators.replay import in_order
+
+    df = spark.createDataFrame([(i % 7, i * 37 % 11, i) for i in range(100)], "image_id long, a long, b long").repartition(5)
+    parts = in_order(df, "a", "b").rdd.glom().collect()
+    seen = [r.image_id for p in parts for r in {r.image_id: r for r in p}.values()]
+    assert sorted(seen) == list(range(7))  # each image in one task
+    assert all([(r.image_id, r.a, r.b) for r in p] == sorted((r.image_id, r.a, r.b) for r in p) for p in parts)
